@@ -191,13 +191,14 @@ def shown(v: Vector) -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """A double in six significant digits without trailing zeros, as C++ streams print it."""
-    fixed = F.format_string("%.5e", x)
-    exponent = F.regexp_extract(fixed, r"e([+-]\d+)$", 1).cast("int")
-    plain = F.when(exponent <= 0, F.format_string("%.9f", F.round(x, 9))).otherwise(F.format_string("%.6f", x))
-    for e in range(-4, 6):
-        plain = F.when(exponent == e, F.format_string(f"%.{5 - e}f", x)).otherwise(plain)
-    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    mantissa = F.regexp_replace(F.regexp_extract(fixed, r"^(.*)e", 1), r"\.?0+$", "")
-    science = F.concat(mantissa, F.regexp_extract(fixed, r"(e[+-]\d+)$", 1))
-    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).when(x == 0, F.lit("0")).when((exponent < -4) | (exponent >= 6), science).otherwise(plain)
+    """A double in six significant digits without trailing zeros, as C++ streams print it.
+
+    An Arrow UDF: Java's formatter rounds the shortest decimal form, C the exact binary value."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) and n else "%g" % v for v, n in zip(values, values.isna(), strict=True)], dtype=object)
+
+    number = x.cast("double")
+    return F.when(F.isnan(number), F.lit("nan")).otherwise(shown(number))
