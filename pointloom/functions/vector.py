@@ -5,6 +5,7 @@ Doubles throughout. Where the reproduced behaviour is mathematically odd, `*_exa
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -194,8 +195,6 @@ def six_digits(x: Column) -> Column:
     """A double in six significant digits without trailing zeros, as C++ streams print it.
 
     An Arrow UDF: Java's formatter rounds the shortest decimal form, C the exact binary value."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def shown(values: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(v) and n else "%g" % v for v, n in zip(values, values.isna(), strict=True)], dtype=object)

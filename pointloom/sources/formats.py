@@ -187,7 +187,7 @@ def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return _tables(rows) | {"uvs": _section(rows, "uv", "u v")}
 
 
-RECORD = struct.Struct("<9f")
+RECORD_BYTES = 36
 FIELDS = "x y z nx ny nz r g b".split()
 
 
@@ -198,8 +198,8 @@ def read_alp(spark: SparkSession, path: str) -> DataFrame:
     def run(frames):
         for f in frames:
             for p, raw in zip(f["path"], f["content"], strict=True):
-                count, size = struct.unpack_from("<II", raw) if len(raw) >= 8 else (0, RECORD.size)
-                n = min(count, (len(raw) - 8) // RECORD.size) if size == RECORD.size else 0
+                count, size = struct.unpack_from("<II", raw) if len(raw) >= 8 else (0, RECORD_BYTES)
+                n = min(count, (len(raw) - 8) // RECORD_BYTES) if size == RECORD_BYTES else 0
                 values = np.frombuffer(raw, "<f4", n * 9, 8).reshape(n, 9).astype(float) if n > 0 else np.zeros((0, 9))
                 out = pd.DataFrame(values, columns=FIELDS)
                 out.insert(0, "idx", range(len(out)))
@@ -215,7 +215,7 @@ def alp_bytes(points: DataFrame) -> DataFrame:
 
     def run(frames):
         rows = pd.concat(list(frames)).sort_values("idx")[FIELDS].to_numpy("<f4")
-        yield pd.DataFrame({"content": [struct.pack("<II", len(rows), RECORD.size) + rows.tobytes()]})
+        yield pd.DataFrame({"content": [struct.pack("<II", len(rows), RECORD_BYTES) + rows.tobytes()]})
 
     return points.select("idx", *FIELDS).coalesce(1).mapInPandas(run, "content binary")
 
