@@ -86,7 +86,8 @@ class CrossParser:
                     table[i, at[c]] = j
             first = np.where(table[0] >= 0, table[0], 0)
             restart = table < 0
-            # entries are row offsets times 2, and odd where a phrase ends before this byte
+            restart[0] = True
+            # entries are row offsets times 2, and odd where a phrase begins with this byte
             table = (np.where(restart, first, table) + base) * (2 * width) + restart
             tables.append(table.astype(np.int32))
             self.roots.append(base * width)
@@ -103,7 +104,7 @@ class CrossParser:
         size = np.minimum(BLOCK, offsets[1:][row] - begin)
         order = np.argsort(-size, kind="stable")
         begin, size, coded = begin[order], size[order], self.code[data]
-        counts = np.ones((len(self.langs), len(row)), np.int32)
+        counts = np.zeros((len(self.langs), len(row)), np.int32)
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(row), 1)
         live = np.searchsorted(-size, -np.arange(BLOCK), side="left")
         for t in range(int(size[0]) if len(size) else 0):
