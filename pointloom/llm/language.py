@@ -122,13 +122,14 @@ class CrossParser:
 def fit(docs: DataFrame, modulus: int | None = 5) -> dict[str, bytes]:
     """The samples, from rows with text and lang whose crc32(doc_id as text) mod modulus is not 0.
 
-    At most SAMPLE_ROWS rows a language reach the driver, and ROW_BYTES of each."""
+    At most SAMPLE_ROWS rows a language reach the driver, and ROW_BYTES of each; their ids, two numbers
+    each, are the only broadcast."""
     known = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"), F.col("lang").alias("l")).where("t is not null and l is not null and id is not null")
     if modulus:
         known = known.where(crc_bucket(F.col("id"), modulus) != 0)
     h = F.xxhash64("id")
     picked = known.groupBy("l", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "id")).alias("p")).select(F.col("p.id").alias("id"), F.col("p.h").alias("h"))
-    rows = known.join(picked.distinct(), "id").select("l", "h", "id", F.encode(F.substring("t", 1, ROW_BYTES), "utf-8").alias("b")).collect()
+    rows = known.join(F.broadcast(picked.distinct()), "id").select("l", "h", "id", F.encode(F.substring("t", 1, ROW_BYTES), "utf-8").alias("b")).collect()
     samples: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.h, r.id, bytes(r.b))):
         have = samples.get(r.l, b"")
@@ -137,7 +138,35 @@ def fit(docs: DataFrame, modulus: int | None = 5) -> dict[str, bytes]:
     return samples
 
 
-_parsers: dict[int, CrossParser] = {}
+_parsers: dict[int, CrossParser | None] = {}
+
+
+def _parser(samples: dict[str, bytes]) -> CrossParser | None:
+    """The worker's parser for these samples, kept from task to task; None for no samples."""
+    key = hash(tuple(sorted(samples.items())))
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = CrossParser(samples) if samples else None
+    return _parsers[key]
+
+
+def judge(texts: pa.Array, letters: pa.Array, samples: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the winner's place among the sorted languages (-1: `und`), score and bytes a phrase."""
+    parser = _parser(samples)
+    data, offsets = words.utf8(texts)
+    some = np.array(letters.to_pylist(), bool)
+    n = len(some)
+    if parser is None or not n:
+        return np.full(n, -1), np.zeros(n), np.zeros(n)
+    p = parser.phrases(data, offsets)
+    least = p.min(1)
+    second = np.partition(p, 1, axis=1)[:, 1] if p.shape[1] > 1 else least
+    score = np.where(some, 1 - least / np.maximum(second, 1) if p.shape[1] > 1 else 1.0, 0.0)
+    return np.where(some, p.argmin(1), -1), score.astype(np.float64), np.diff(offsets) / np.maximum(least, 1)
+
+
+def _with_letters(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_has_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
 
 def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
@@ -146,32 +175,16 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     lang_pred is `und`, with score 0, where the text is null or has no letter, or nothing was learned;
     ties go to the smaller lang. score is 1 - fewest / second fewest phrases (1 where one language was
     learned); phrase_len is bytes a phrase in the winner. Empty in, empty out."""
+    names = pa.array(["und", *sorted(samples)])
 
     def run(batches):
-        key = hash(tuple(sorted(samples.items())))
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = CrossParser(samples) if samples else None
-        parser = _parsers[key]
         for batch in batches:
             for part in words.slices(batch, "text"):
-                data, offsets = words.utf8(part.column("text"))
-                letters = np.array(part.column("letters").to_pylist(), bool)
-                n = len(letters)
-                best, score, size = np.full(n, -1), np.zeros(n), np.zeros(n)
-                if parser is not None and n:
-                    p = parser.phrases(data, offsets)
-                    best = np.where(letters, p.argmin(1), -1)
-                    least = p.min(1)
-                    second = np.partition(p, 1, axis=1)[:, 1] if p.shape[1] > 1 else least
-                    score = np.where(letters, 1 - least / np.maximum(second, 1) if p.shape[1] > 1 else 1.0, 0.0)
-                    size = np.diff(offsets) / np.maximum(least, 1)
-                names = pa.array(["und", *(parser.langs if parser else [])])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), names.take(pa.array(best + 1)), pa.array(score.astype(np.float64)), pa.array(size)], names=["doc_id", "lang_pred", "score", "phrase_len"])
+                best, score, size = judge(part.column("text"), part.column("_has_letters"), samples)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), names.take(pa.array(best + 1)), pa.array(score), pa.array(size)], names=["doc_id", "lang_pred", "score", "phrase_len"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_len double")
+    return _with_letters(texts).mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_len double")
 
 
 def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
