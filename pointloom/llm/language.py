@@ -195,10 +195,16 @@ def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text is in no learned language; all columns.
+    """docs without the rows whose text is in no learned language; all columns, judged row by row in place.
 
     Gone are texts that are null or have no letter, and those whose best language matches fewer than
-    LEAST_PHRASE bytes a phrase. Rows of null doc_id are judged by no join and go."""
-    marks = predict(docs, fit(docs, None))
-    kept = marks.where((F.col("lang_pred") != "und") & (F.col("phrase_len") >= LEAST_PHRASE)).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    LEAST_PHRASE bytes a phrase. Rows of null doc_id are judged like any other."""
+    samples, columns = fit(docs, None), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                best, _, size = judge(part.column("text"), part.column("_has_letters"), samples)
+                yield part.select(columns).filter(pa.array((best >= 0) & (size >= LEAST_PHRASE)))
+
+    return _with_letters(docs).mapInArrow(run, docs.schema)
