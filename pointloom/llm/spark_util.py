@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget its lineage."""
+    """Materialise df in the shared folder and forget its lineage.
+
+    Spark's cleaner drops the shuffle and checkpoint files of frames that nothing refers to any more,
+    but only after the driver has collected its garbage, which a driver with little to do may not do
+    for many steps; so it is asked to."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
