@@ -3,6 +3,8 @@ columns inside them, so every window is partitioned; a stream without sessions i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,132 @@ def zoom(events: DataFrame) -> DataFrame:
     radius = "if(x.shift, acc.radius, case when x.dy > 0 then acc.radius * 0.9D when x.dy < 0 then acc.radius * 1.1D else acc.radius end)"
     fov = "if(x.shift, least(greatest(acc.fov - signum(x.dy), 1D), 90D), acc.fov)"
     return folded(events, f"named_struct('radius', {radius}, 'fov', {fov})", "named_struct('radius', 1D, 'fov', 45D)", ["dy", "shift"])
+
+
+def button_flags(events: DataFrame, order=ORDER) -> DataFrame:
+    """Which of the left, right and middle buttons (0, 1, 2) are down after each row: the last action
+    (1 press, 0 release) of each; rows of other buttons or actions change none."""
+    over = _over(order).rowsBetween(Window.unboundedPreceding, 0)
+    real = F.col("action").isin(0, 1)
+    for k, name in enumerate(("left", "right", "middle")):
+        own = F.when((F.col("button") == k) & real, F.col("action") == 1)
+        events = events.withColumn(name, F.coalesce(F.last(own, ignorenulls=True).over(over), F.lit(False)))
+    return events
+
+
+Triple = tuple[float, float, float]
+
+
+def _plus(a: Triple, b: Triple, times: float = 1.0) -> Triple:
+    return (a[0] + b[0] * times, a[1] + b[1] * times, a[2] + b[2] * times)
+
+
+def _cross(a: Triple, b: Triple) -> Triple:
+    return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def _unit(a: Triple) -> Triple:
+    """A zero vector stays as it is."""
+    n = sum(c * c for c in a) ** 0.5
+    return (a[0] / n, a[1] / n, a[2] / n) if n else a
+
+
+class Trackball:
+    """A camera about a target. Drags with the right button turn it, with the middle one move it in its
+    own plane; the wheel changes its distance, or with shift its field of view; W, S, A, D step."""
+
+    TURN, PAN, STEP = 0.005, 0.01, 0.2
+
+    def __init__(self):
+        self.eye, self.target, self.up = (0.0, 0.0, 5.0), (0.0, 0.0, 0.0), (0.0, 1.0, 0.0)
+        self.radius, self.fov, self.at = 10.0, 45.0, (0.0, 0.0)
+        self.buttons, self.shifts = set(), set()
+
+    def turn(self, dx: float, dy: float) -> None:
+        """By -dx about up, after dy about the right: v turned by an angle about a unit axis k is
+        v cos + (k x v) sin + k (k.v)(1 - cos)."""
+        from math import cos, sin
+
+        view = _unit(_plus(self.eye, self.target, -1.0))
+        right = _unit(_cross(view, self.up))
+        turned = view
+        for axis, angle in ((right, dy * self.TURN), (self.up, -dx * self.TURN)):
+            along = sum(p * q for p, q in zip(axis, turned, strict=True)) * (1 - cos(angle))
+            turned = _plus(_plus(tuple(c * cos(angle) for c in turned), _cross(axis, turned), sin(angle)), axis, along)
+        self.eye, self.up = _plus(self.target, turned, self.radius), _unit(_cross(right, turned))
+
+    def shift(self, by: Triple) -> None:
+        self.eye, self.target = _plus(self.eye, by), _plus(self.target, by)
+
+    def pan(self, dx: float, dy: float) -> None:
+        back = _unit(_plus(self.eye, self.target, -1.0))
+        right = _unit(_cross(self.up, back))
+        self.shift(_plus(tuple(-dx * self.PAN * c for c in right), _cross(back, right), dy * self.PAN))
+
+    def wheel(self, dy: float) -> None:
+        sign = (dy > 0) - (dy < 0)
+        if self.shifts:
+            self.fov = min(max(self.fov - sign, 1.0), 90.0)
+            return
+        self.radius *= (1.0, 0.9, 1.1)[sign]
+        self.eye = _plus(self.target, _unit(_plus(self.eye, self.target, -1.0)), self.radius)
+
+    def key(self, key: str) -> None:
+        ahead = _unit(_plus(self.target, self.eye, -1.0))
+        right = _unit(_cross(self.up, ahead))
+        steps = {"W": (ahead, 1.0), "S": (ahead, -1.0), "D": (right, 1.0), "A": (right, -1.0)}
+        if key in steps:
+            way, sign = steps[key]
+            self.shift(tuple(sign * self.STEP * c for c in way))
+
+    def take(self, kind: str | None, x: float, y: float, button: int | None, dy: float, key: str | None) -> None:
+        if kind == "move":
+            d = (x - self.at[0], y - self.at[1])
+            if 1 in self.buttons:
+                self.turn(*d)
+            if 2 in self.buttons:
+                self.pan(*d)
+            self.at = (x, y)
+        elif kind == "press":
+            self.buttons.add(button)
+            self.at = (x, y)
+        elif kind == "release":
+            self.buttons.discard(button)
+        elif kind == "wheel":
+            self.wheel(dy)
+        elif kind == "key_press":
+            if key in ("LEFT_SHIFT", "RIGHT_SHIFT"):
+                self.shifts.add(key)
+            self.key(key)
+        elif kind == "key_release":
+            self.shifts.discard(key)
+
+
+def trackball(events: DataFrame, order=ORDER) -> DataFrame:
+    """(session, *order, eye_x .. up_z, radius, fov) after each row of (session, *order, kind, x, y, button, dy, key).
+
+    kind is move, press, release, wheel, key_press or key_release; rows of another kind change nothing,
+    null numbers are 0. Sorted rows stream through the fold, so a session takes a task's time but not
+    its memory."""
+    import pandas as pd
+
+    fields = ["kind", "x", "y", "button", "dy", "key"]
+    rows = events.select(SESSION, *order, "kind", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("x", "y")], F.coalesce(F.col("button").cast("int"), F.lit(-1)).alias("button"), F.coalesce(F.col("dy").cast("double"), F.lit(0.0)).alias("dy"), "key")
+    made = [f"{p}_{a}" for p in ("eye", "target", "up") for a in "xyz"] + ["radius", "fov"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, ball = None, None
+        for batch in batches:
+            out = []
+            for own, *values in zip(batch[SESSION], *[batch[f] for f in fields], strict=True):
+                own = None if pd.isna(own) else own
+                if ball is None or own != session:
+                    session, ball = own, Trackball()
+                ball.take(*values)
+                out.append((*ball.eye, *ball.target, *ball.up, ball.radius, ball.fov))
+            state = pd.DataFrame(out, columns=made, dtype="float64", index=batch.index)
+            yield pd.concat([batch[[SESSION, *order]], state], axis=1)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (SESSION, *order)) + ", " + ", ".join(f"{c} double" for c in made)
+    return rows.repartition(SESSION).sortWithinPartitions(SESSION, *order).mapInPandas(run, schema)

@@ -324,6 +324,23 @@ def c7_box_triangle(spark, sf_dir):
     return points(spark, sf_dir).select("idx", boxes.intersects_triangle(b, V(0), V(3), V(6)).alias("hit"))
 
 
+@query(f"SELECT idx, {R('x')} AS x, {R('z')} AS y, {R('y')} AS z FROM {XYZ}")
+def b3_swap_yz(spark, sf_dir):
+    p = joins.swap_yz(xyz(spark, sf_dir).drop("label"))
+    return p.select("idx", *[r(F.col(a)).alias(a) for a in "xyz"])
+
+
+@query(f"SELECT idx, {R('greatest(x, y, z)')} AS most, {R('least(x, y, z)')} AS least FROM {XYZ}")
+def g4_three_way(spark, sf_dir):
+    a = [F.col(c) for c in "xyz"]
+    return xyz(spark, sf_dir).select("idx", r(v.greatest3(*a)).alias("most"), r(v.least3(*a)).alias("least"))
+
+
+@query(f"SELECT idx, CASE WHEN idx = 7 THEN 9.0::DOUBLE ELSE {R('x')} END AS x FROM {XYZ}")
+def a26_set_at(spark, sf_dir):
+    return joins.set_at(xyz(spark, sf_dir), "x", 7, F.lit(9.0)).select("idx", r(F.col("x")).alias("x"))
+
+
 @query(f"SELECT idx, x, y, z, {', '.join(f'CASE WHEN idx % 3 = 0 THEN 1.0::DOUBLE ELSE abs({a}) END AS {c}' for a, c in zip('xyz', 'rgb', strict=True))} FROM {XYZ}")
 def d1_zip(spark, sf_dir):
     p = xyz(spark, sf_dir)
@@ -415,6 +432,27 @@ def f5_pressed(spark, sf_dir):
     return events.pressed(e).select("event_id", "down", "changed")
 
 
+@query("SELECT event_id, " + ", ".join(f"coalesce(last_value(CASE WHEN event_id % 3 = {k} AND event_type IN ('click', 'view') THEN event_type = 'click' END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS {n}" for k, n in enumerate(("left", "right", "middle"))) + f' FROM {S}')
+def f6_button_flags(spark, sf_dir):
+    e = stream(spark, sf_dir).withColumn("action", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 0).otherwise(2)).withColumn("button", F.col("event_id") % 3)
+    return events.button_flags(e).select("event_id", "left", "right", "middle")
+
+
+@query()
+def f10_trackball(spark, sf_dir):
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in (("view", "move"), ("click", "press"), ("signup", "release"), ("purchase", "wheel"), ("error", "key_press")) for x in pair]), F.col("event_type"))
+    key = F.element_at(F.array(*[F.lit(k) for k in "WASD"]), (F.col("event_id") % 4 + 1).cast("int"))
+    e = stream(spark, sf_dir).select("session", "ts", "event_id", kind.alias("kind"), F.col("value").alias("x"), (100 - F.col("value")).alias("y"), (F.col("event_id") % 3).alias("button"), (F.col("value") - 50).alias("dy"), key.alias("key"))
+    states = events.trackball(e)
+    return states.select("event_id", *[r(F.col(c)).alias(c) for c in states.columns[3:]])
+
+
+@query(f"SELECT event_id, event_type FROM {S} WHERE event_id % 4 IN (0, 1)")
+def c9_press_or_release(spark, sf_dir):
+    e = stream(spark, sf_dir).withColumn("action", F.col("event_id") % 4).withColumn("key", F.col("event_type"))
+    return events.pressed(e).select("event_id", "event_type")
+
+
 @query()
 def f8_orbit(spark, sf_dir):
     e = events.orbit(stream(spark, sf_dir).withColumn("dx", F.col("value")).withColumn("dy", F.col("value") - 50))
@@ -530,3 +568,16 @@ def a7_obj_sink(spark, sf_dir):
 @query(f"SELECT unnest(['ply', 'format ascii 1.0', 'property float x' || chr(10) || 'property float y' || chr(10) || 'property float z', 'end_header']) AS value UNION ALL SELECT 'element vertex ' || count(*) FROM {XYZ} UNION ALL SELECT format('{{:g}}', x) || ' ' || format('{{:g}}', y) || ' ' || format('{{:g}}', z) FROM {XYZ}")
 def a9_ply_sink(spark, sf_dir):
     return formats.ply_lines(xyz(spark, sf_dir))
+
+
+def _counted_sql(n: str, pattern: str = "%f") -> str:
+    return f"SELECT CAST(count(*) AS VARCHAR) AS value FROM {P} UNION ALL SELECT printf('{', '.join([pattern] * 3)}', {n}) FROM {P}"
+
+
+@query(" UNION ALL ".join((_counted_sql("e0, e1, e2"), _counted_sql("e3, e4, e5"), _counted_sql("abs(e6), abs(e7), abs(e8)"), _counted_sql("idx, 0, 1", "%d"))))
+def a5_mesh_sink(spark, sf_dir):
+    p = points(spark, sf_dir)
+    part = lambda names, columns: p.select("idx", *[c.alias(n) for n, c in zip(names, columns, strict=True)])
+    colours = part("rgb", [F.abs(E(i)) for i in (6, 7, 8)])
+    faces = part(("i0", "i1", "i2"), [F.col("idx"), F.lit(0).cast("long"), F.lit(1).cast("long")])
+    return formats.mesh_lines(part("xyz", V(0)), part(("nx", "ny", "nz"), V(3)), colours, faces)

@@ -10,7 +10,7 @@ from pointloom.functions import matrix as m
 from pointloom.functions import quaternion as q
 from pointloom.functions import text
 from pointloom.functions import vector as v
-from pointloom.operators import boxes, moments
+from pointloom.operators import boxes, events, moments
 
 
 def one(spark, *columns):
@@ -95,3 +95,23 @@ def test_moments(spark):
     close(tuple(box), (1, 2, 3))
     empty = boxes.aabb(p.where("idx < 0")).first()
     assert empty.minx is None and empty.n == 0
+
+
+def test_trackball(spark):
+    rows = [(1, 0, "press", 0.0, 0.0, 1, None, None), (1, 1, "move", 314.159265358979, 0.0, None, None, None), (1, 2, "release", None, None, 1, None, None), (1, 3, "move", 9.0, 9.0, None, None, None)]
+    rows += [(2, 0, "wheel", None, None, None, 1.0, None), (2, 1, "key_press", None, None, None, None, "W"), (2, 2, "press", 0.0, 0.0, 2, None, None), (2, 3, "move", 10.0, 20.0, None, None, None), (2, 4, None, None, None, None, None, None)]
+    rows += [(None, 0, "key_press", None, None, None, None, "LEFT_SHIFT"), (None, 1, "wheel", None, None, None, -1.0, None), (None, 2, "key_release", None, None, None, None, "LEFT_SHIFT"), (None, 3, "wheel", None, None, None, -1.0, None)]
+    e = spark.createDataFrame(rows, "session int, at int, kind string, x double, y double, button int, dy double, key string")
+    got = {(x.session, x.at): x for x in events.trackball(e, order=("at",)).collect()}
+    assert len(got) == len(rows)
+    eye, target = lambda k: tuple(got[k][f"eye_{a}"] for a in "xyz"), lambda k: tuple(got[k][f"target_{a}"] for a in "xyz")
+    close(eye((1, 0)), (0, 0, 5))
+    close(eye((1, 1)), (-10, 0, 0))  # a quarter turn, at the fold's own radius
+    close(eye((1, 3)), (-10, 0, 0))
+    close(eye((2, 0)), (0, 0, 9))
+    close(eye((2, 1)), (0, 0, 8.8))
+    close(target((2, 1)), (0, 0, -0.2))
+    close(eye((2, 3)), (-0.1, 0.2, 8.8))
+    close(eye((2, 4)), (-0.1, 0.2, 8.8))
+    close((got[None, 1].fov, got[None, 1].radius, got[None, 3].fov, got[None, 3].radius), (46, 10, 46, 11))
+    assert events.trackball(e.where("at < 0"), order=("at",)).collect() == []
