@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import resident, words
 from .spark_util import crc_bucket
 
 #: The sample: for each language the rows of lowest hash in this many hash classes, and so many bytes of their texts.
@@ -138,16 +138,9 @@ def fit(docs: DataFrame, modulus: int | None = 5) -> dict[str, bytes]:
     return samples
 
 
-_parsers: dict[int, CrossParser | None] = {}
-
-
 def _parser(samples: dict[str, bytes]) -> CrossParser | None:
     """The worker's parser for these samples, kept from task to task; None for no samples."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples) if samples else None
-    return _parsers[key]
+    return resident.keep(("parser", tuple(sorted(samples.items()))), lambda: CrossParser(samples) if samples else None)
 
 
 def judge(texts: pa.Array, letters: pa.Array, samples: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words
+from . import resident, words
 from .components import components
 from .spark_util import cut
 
@@ -91,6 +91,7 @@ _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands arr
 
 def _sign(width: int):
     def run(batches):
+        resident.release()
         for batch in batches:
             for part in words.slices(batch, "text"):
                 flat, offsets = shingle_sets(part.column("text"), width)
@@ -127,6 +128,7 @@ def _sign(width: int):
 
 def _gather_sets(width: int):
     def run(batches):
+        resident.release()
         for batch in batches:
             for part in words.slices(batch, "text"):
                 flat, offsets = shingle_sets(part.column("text"), width)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words
+from . import resident, words
 from .spark_util import cut
 
 CAPACITY = 2048
@@ -55,7 +55,12 @@ class _Chunks(dict):
 
 
 _CONTRACTION = re.compile("'")
-_loaded: dict[str, _Chunks] = {}
+
+
+def _chunks(path: str) -> _Chunks:
+    from tokenizers import Tokenizer
+
+    return _Chunks(Tokenizer.from_file(path))
 
 
 def _ids(path: str, text: str) -> bytes:
@@ -65,11 +70,7 @@ def _ids(path: str, text: str) -> bytes:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    chunks = _loaded.get(path)
-    if chunks is None:
-        from tokenizers import Tokenizer
-
-        chunks = _loaded[path] = _Chunks(Tokenizer.from_file(path))
+    chunks = resident.keep(("chunks", path), lambda: _chunks(path))
     if _ODD_SPACE.search(text):
         return chunks.slow(text)
     return b"".join(map(chunks.__getitem__, text.split()))

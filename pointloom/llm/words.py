@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 19
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
