@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_EPOCHS = 3
 #: Blocks have total / 2**16 words, between 1 and this.
 LARGEST_BLOCK = 1024
-RANK_BLOCK, SLOT_CHUNK = 20_000, 4096
+RANK_BLOCK, SLOT_CHUNK = 2048, 4096
 
 
 def targets(sources: DataFrame) -> DataFrame:
