@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import resident, words
-from .spark_util import cut
+from .spark_util import cut, short_batches
 
 CAPACITY = 2048
 CACHE_WORDS = 600_000
@@ -172,7 +172,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     Null text is empty (one token, the closing 0). Rows that repeat a doc_id are packed as rows of
     their own; a null doc_id is kept. Ties in length are ranked by hash, doc_id, piece. Sequences are
     gapless from offset 0. Other columns are ignored; empty in, empty out."""
-    cutted = cut(pieces(docs, capacity, tokenizer))
+    with short_batches(docs.sparkSession):
+        cutted = cut(pieces(docs, capacity, tokenizer))
     sizes = {int(r.length): int(r.c) for r in cutted.groupBy("length").agg(F.count("*").alias("c")).collect()}  # capacity rows at most
     places = _places(plan(sizes, capacity))
     blocks = max(1, -(-sum(sizes.values()) // block))
