@@ -7,6 +7,7 @@ connected components by large-star and small-star.
    the most similar of its buckets' smallest ids; what that links is merged.
 3. In each bucket that still spans several components, pairs of different components that the
    minima don't rule out are checked on their sets inside the task; members travel, pairs don't.
+   A pair is checked in the first bucket that it shares only, told by the buckets themselves.
    A bucket of over CHUNK members is dealt out as pairs of chunks, so no task holds a hot bucket.
 4. Components of all confirmed links.
 
@@ -105,7 +106,7 @@ def _sign(width: int):
                     h1[some] = np.add.reduceat(words.mix(flat * _C[2]), starts)
                     h2[some] = np.add.reduceat(words.mix(flat * _C[3] + _C[4]), starts)
                     low = minima(flat, np.append(starts, len(flat)))
-                    sigs[some] = (low >> np.uint64(53)).astype(np.uint8)
+                    sigs[some] = (words.mix(low) & np.uint64(255)).astype(np.uint8)  # mixed: the leading bits of a large set's minima are all zero
                     key = np.zeros((len(some), BANDS), np.uint64)
                     for r in range(ROWS):
                         key = words.mix(key * _C[5] + low[:, r::ROWS])
@@ -173,12 +174,13 @@ class _Bucket:
         self.ids, self.comp, self.n = (frame[c].to_numpy() for c in ("id", "comp", "n_shingles"))
         self.side = frame["chunk"].to_numpy()
         self.sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(self.ids), -1)
+        self.earlier = np.stack(frame["earlier"].to_list()).astype(np.int64)
         self.percent = percent
         self.one = frame["left"].iloc[0] == frame["right"].iloc[0]
         self.left = frame["left"].iloc[0]
 
-    def pairs(self, band: int):
-        """(i, others): pairs of different components whose estimate and sizes allow a link and that meet in no earlier band."""
+    def pairs(self):
+        """(i, others): pairs of different components whose estimate and sizes allow a link and that meet in no earlier band's bucket."""
         least = _least_estimate(self.percent)
         own = np.arange(len(self.ids)) if self.one else np.flatnonzero(self.side == self.left)
         other = own if self.one else np.flatnonzero(self.side != self.left)
@@ -189,11 +191,10 @@ class _Bucket:
             to = to[100 * small >= self.percent * large]
             if not len(to):
                 continue
-            same = self.sig[to] == self.sig[i]
-            count = same.sum(1)
+            count = (self.sig[to] == self.sig[i]).sum(1)
             ok = count >= least
-            if band:
-                ok &= ~same[:, : band * ROWS].reshape(len(to), band, ROWS).all(2).any(1)
+            to, count = to[ok], count[ok]
+            ok = ~(self.earlier[to] == self.earlier[i]).any(1)
             if ok.any():
                 yield i, to[ok], count[ok]
 
@@ -202,12 +203,11 @@ def _survivors(percent: int):
     import pandas as pd
 
     def run(frame):
-        bucket, band = _Bucket(frame, percent), int(frame["band"].iloc[0])
         kept = np.zeros(len(frame), bool)
-        for i, others, _ in bucket.pairs(band):
+        for i, others, _ in _Bucket(frame, percent).pairs():
             kept[i] = True
             kept[others] = True
-        return pd.DataFrame(frame.loc[kept, ["bucket", "left", "right", "chunk", "band", "id", "comp", "n_shingles", "sig"]])
+        return pd.DataFrame(frame.loc[kept, ["bucket", "left", "right", "chunk", "id", "comp", "n_shingles", "sig", "earlier"]])
 
     return run
 
@@ -217,7 +217,7 @@ def _confirm(percent: int):
 
     def run(frame):
         frame = frame.reset_index(drop=True)
-        bucket, band = _Bucket(frame, percent), int(frame["band"].iloc[0])
+        bucket = _Bucket(frame, percent)
         sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
         found, parent = [], {}
 
@@ -227,7 +227,7 @@ def _confirm(percent: int):
                 x = parent[x]
             return x
 
-        for i, others, count in bucket.pairs(band):
+        for i, others, count in bucket.pairs():
             for j in others[np.argsort(-count, kind="stable")]:
                 a, b = root(bucket.comp[i]), root(bucket.comp[j])
                 if a != b and linked(sets[i], sets[j], percent):
@@ -283,9 +283,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
 
     merged = components(links)
     labelled = members.join(merged.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("comp"))
-    dealt = _pairs_of_chunks(cut(labelled)).join(sigs, "id")
+    dealt = _pairs_of_chunks(cut(labelled)).join(heads, "id").withColumn("earlier", F.slice("bands", 1, F.col("band"))).drop("band", "bands")
     group = ["bucket", "left", "right"]
-    schema = "bucket long, left int, right int, chunk int, band int, id long, comp long, n_shingles long, sig binary"
+    schema = "bucket long, left int, right int, chunk int, id long, comp long, n_shingles long, sig binary, earlier array<long>"
     open_ = cut(_grouped(dealt, group, _survivors(percent), schema))
     more = _grouped(open_.join(sets, "id"), group, _confirm(percent), "a long, b long")
     last = components(cut(links.union(more)))

@@ -327,6 +327,25 @@ def test_near_dup(spark, docs, texts, width, percent):
     assert near_dup.near_duplicates(own.limit(0), width, percent).count() == 0
 
 
+def test_near_dup_of_long_texts(spark):
+    """Chains of long texts, each a copy of the one before with some words changed, beside brute force."""
+    r, rows, k = random.Random(8), [], 0
+    for n, chains in ((3_000, 6), (8_000, 4), (20_000, 3)):
+        for _ in range(chains):
+            own = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+            for _ in range(7):
+                rows.append((k, " ".join(own), None, None, 0))
+                k += 1
+                for i in r.sample(range(n), int(n * 0.0215)):  # similarity of about 0.88 at width 3
+                    own[i] = f"z{r.randint(0, 10**6)}"
+    sets = {a: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for a, t, *_ in rows for w in [t.split()]}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if abs(a - b) < 7 and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 60
+    want = components_of(links, sets)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, DOC), 3, 85).collect()}
+    assert got == want
+
+
 def test_suffix_automaton():
     text = b"abcabxabcd"
     go = language.suffix_automaton(text)
