@@ -126,7 +126,8 @@ def multiprobe(q: np.ndarray, q_ids, x: np.ndarray, x_ids, largest: float, k: in
     the nearest by distance has the largest inner product; p-stable projections are cut into buckets.
     A query visits the occupied ones of its perturbed buckets (each projection's by -1, 0 or 1) of all
     tables in the order of their estimated success, the squared distances of its projections to the
-    bucket, until it has visited `probes`. All candidates met are scored on the original vectors."""
+    bucket, until it has visited `probes`. All candidates met are scored on the original vectors; a query
+    that met fewer than k is held against all."""
     dim = x.shape[1]
     rng = np.random.default_rng(20)
     a = rng.standard_normal((dim + 1, TABLES * PROJECTIONS))
@@ -157,7 +158,10 @@ def multiprobe(q: np.ndarray, q_ids, x: np.ndarray, x_ids, largest: float, k: in
     met = np.zeros((len(q), len(x)), bool)
     for t in range(TABLES):
         met |= visited[:, at[t] : at[t + 1]][:, of[t]]
-    met &= x_ids[None] != q_ids[:, None]
+    other = x_ids[None] != q_ids[:, None]
+    met &= other
+    short = met.sum(1) < k
+    met[short] = other[short]
     scores = q @ x.T
     scores[~met] = -np.inf
     if seen is not None:
@@ -175,9 +179,10 @@ def multiprobe(q: np.ndarray, q_ids, x: np.ndarray, x_ids, largest: float, k: in
 
 
 def nearest(vectors: DataFrame, query="vec_id % 20 = 0", k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): up to k nearest by inner product, approximately; zero vectors take no part.
+    """(query_id, rank, vec_id, score): k nearest by inner product, approximately; zero vectors take no part.
 
-    A query with fewer than k candidates in the buckets that it visits in all cells gets those found."""
+    A query gets fewer only where there are fewer candidates, and then all. In a cell where it meets fewer
+    than k in its buckets, it is held against the whole cell."""
     rows = cut(valid(vectors).where(F.exists("v", lambda x: x != 0)))
     largest = float(rows.agg(F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()[0] or 1.0)
 

@@ -127,6 +127,28 @@ def test_nearest(embeddings):
     assert vectors.nearest(embeddings.limit(0)).count() == 0
 
 
+def test_nearest_gives_k_or_all(spark):
+    r = np.random.default_rng(6)
+
+    def unit(n):
+        x = r.standard_normal((n, 64))
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    for n in (2, 10, 21, 60):
+        x, ids = unit(n), np.arange(n)
+        for a, found, scores in vectors.multiprobe(x, ids, x, ids, 1.0, 20):
+            best = sorted((b for b in range(n) if b != a), key=lambda b: (-float(x[a] @ x[b]), b))[:20]
+            assert len(found) == len(best) and (n > 21 or found.tolist() == best)
+            assert scores == pytest.approx(x[found] @ x[a], abs=1e-12)
+    for norm in (10, 1000):  # one long vector: the others share a few buckets
+        x, ids = unit(3000), np.arange(3000)
+        x[7] *= norm
+        assert all(len(found) == 20 == len(set(found.tolist())) and a not in found for a, found, _ in vectors.multiprobe(x, ids, x, ids, float(norm), 20))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(unit(15))]
+    got = collections.Counter(x.query_id for x in vectors.nearest(spark.createDataFrame(rows, VECTORS), "vec_id % 2 = 0").collect())
+    assert got == {i: 14 for i in range(0, 15, 2)}
+
+
 CHAT = "conv_id long, turn long, role string, text string"
 
 
