@@ -103,8 +103,20 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them, in whole documents: each row taken / size times, rounded; all columns."""
+    """docs as the mix takes them, in whole documents: each row taken / size times, rounded; all columns.
+
+    Rows of null doc_id, and those that repeat one, are taken as rows: the k-th of those of equal doc_id,
+    source and size as often as the k-th such row of the mix, which doesn't tell them apart."""
     shares, _ = mix(docs)
-    times = shares.groupBy("doc_id").agg(F.round(F.sum("taken") / F.when(F.sum("size") > 0, F.sum("size"))).cast("int").alias("times_taken")).where("times_taken > 0")
-    times = times.withColumnRenamed("doc_id", "taken_id")
-    return docs.join(times, docs.doc_id == times.taken_id).withColumn("times_taken", F.explode(F.sequence(F.lit(1), F.col("times_taken")))).select(*[docs[c] for c in docs.columns])
+    shares = cut(shares.select("doc_id", "source", "size", F.coalesce(F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))), F.lit(0)).cast("int").alias("times")))
+    by_id = shares.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"), F.sum("times").cast("int").alias("times"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("key"))
+    named = rows.join(by_id.where("times > 0"), "key")
+    once, others = named.where("rows = 1").select("doc", "times"), named.where("rows > 1").select("doc", "key").union(rows.where("key is null"))
+
+    equal = ["key", "source", "size"]
+    others = others.select("doc", "key", F.col("doc.source").cast("string").alias("source"), F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    others = others.withColumn("k", F.row_number().over(Window.partitionBy(*equal).orderBy(F.xxhash64("doc.text")))).alias("o")
+    ranked = shares.withColumnRenamed("doc_id", "key").withColumn("k", F.row_number().over(Window.partitionBy(*equal).orderBy("times"))).where("times > 0").alias("r")
+    met = others.join(ranked, [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*equal, "k")]).select("doc", "times")
+    return once.union(met).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

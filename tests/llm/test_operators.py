@@ -253,6 +253,21 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0))[0].count() == 0
 
 
+def test_mixed_takes_rows_of_null_and_repeated_id(spark):
+    r = random.Random(2)
+    rows = [(None if i % 3 else i % 12 * 50, "w " * r.choice([2, 7, 7, 30]) + str(i), None, r.choice(["a", "b", "c", None]), 0) for i in range(300)]
+    rows += [(1000 + i, "v " * r.randint(0, 40), None, "a", 0) for i in range(100)] + [(None, None, None, "a", 0)]
+    table = spark.createDataFrame(rows, DOC).withColumn("times", F.lit("x")).withColumn("size", F.lit(1))
+    want = collections.Counter()
+    for x in mixing.mix(table)[0].collect():
+        want[x.doc_id, x.source, x.size] += math.floor(x.taken / x.size + 0.5) if x.size else 0
+    mixed = mixing.mixed(table)
+    got = mixed.collect()
+    assert mixed.columns == table.columns
+    assert collections.Counter((x.doc_id, x.source, len(split(x.text))) for x in got) == +want
+    assert {tuple(x)[:5] for x in got} <= set(rows) and sum(x.doc_id is None for x in got) > 100
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, universe in ((0, 10), (1, 1), (5, 100), (1000, 1 << 62), (5000, 6000), (3000, 1 << 20)):
