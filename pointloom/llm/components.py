@@ -38,7 +38,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     before = None
     while True:
         edges = cut(_small_star(_large_star(edges)))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum("v")).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)

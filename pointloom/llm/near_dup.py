@@ -87,7 +87,7 @@ def minima(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"
 
 
 def _sign(width: int):
@@ -115,13 +115,14 @@ def _sign(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array(n.astype(np.int64)),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
                         pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, (rows + 1) * len(_A), len(_A), dtype=np.int32)), pa.py_buffer(sigs.tobytes())]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig", "bands"],
                 )
 
     return run
@@ -134,7 +135,7 @@ def _gather_sets(width: int):
             for part in words.slices(batch, "text"):
                 flat, offsets = shingle_sets(part.column("text"), width)
                 raw = pa.py_buffer(flat.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int64)), raw]).cast(pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int64)), raw]).cast(pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -254,22 +255,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     shingles of `width` words (of all its words, if fewer). Documents are linked when
     100 * |intersection| >= percent * |union|. Null or wordless texts have no shingle and stand
     alone. component_id is the smallest doc_id reachable; kept marks that one. Rows that repeat a
-    doc_id are kept as rows, with the same component; a null doc_id is its own, null component.
-    Other columns are ignored; empty in, empty out.
+    doc_id are kept as rows, each linked by its own text, so with the same component where their sets
+    are equal; a null doc_id is its own, null component. Other columns are ignored; empty in, empty out.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _marked(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates' columns, text_hash, and one: true for the rows of one doc_id and text in each component."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     signed = cut(texts.mapInArrow(_sign(width), _SIGNED))
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    heads = known.join(classes.select(F.col("class_id").alias("doc_id"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), "doc_id").where("h1 = c1 and h2 = c2")
-    heads = cut(heads.dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"))
+    key = ["h1", "h2", "n_shingles"]
+    # a class has a number of its own: classes of different sets may have the same smallest doc_id
+    classes = known.groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    heads = classes.select("id", "n_shingles", "sig", "bands")
 
     banded = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("head")).where("m > 1")
     members = cut(banded.join(shared.select("bucket", "head"), "bucket"))
 
     sigs = heads.select("id", "n_shingles", "sig")
-    texts_needed = texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = members.select("id").distinct().join(classes.select("id", "least.*"), "id")
+    texts_needed = texts.join(wanted, ["doc_id", "text_hash"]).select("id", "text")
     sets = cut(texts_needed.mapInArrow(_gather_sets(width), "id long, shingles binary").dropDuplicates(["id"]))
 
     first = members.where("id <> head").select(F.col("id").alias("b"), F.col("head").alias("a")).distinct()
@@ -290,10 +300,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     more = _grouped(open_.join(sets, "id"), group, _confirm(percent), "a long, b long")
     last = components(cut(links.union(more)))
 
-    of_class = classes.join(last.withColumnRenamed("node", "class_id"), "class_id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
+    of_class = classes.join(last.withColumnRenamed("node", "id"), "id", "left").select(*key, "least", F.coalesce("component", "id").alias("comp"))
+    best = of_class.groupBy("comp").agg(F.min("least").alias("best"))
+    of_class = of_class.join(best, "comp").select(*key, F.col("best.doc_id").alias("component_id"), F.col("best.text_hash").alias("best_hash"))
+    out = signed.select("doc_id", "text_hash", *key).join(of_class, key, "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
+    one = kept & F.coalesce(F.col("text_hash") == F.col("best_hash"), F.lit(True))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"), "text_hash", one.alias("one"))
 
 
 def _estimate(least: int):
@@ -339,9 +353,10 @@ def _grouped(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near duplicates of another row: one document of each group, all columns.
 
-    Rows that repeat a kept doc_id with an equal text stay one row; rows of null doc_id stay."""
-    marks = near_duplicates(docs, width, percent)
-    gone = marks.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    Rows that repeat a doc_id are judged each by its own text; those of a kept doc_id with an equal text
+    stay one row. Rows of null doc_id stay."""
+    gone = _marked(docs, width, percent).where("doc_id is not null and not one").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select("*", F.xxhash64(docs.text.cast("string")).alias("_text_hash"))
+    left = rows.join(gone, (rows.doc_id == gone.gone_id) & (rows._text_hash == gone.gone_hash), "left_anti")
     nameless = left.where("doc_id is null")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "_text_hash"]).unionByName(nameless).drop("_text_hash")

@@ -383,6 +383,22 @@ def test_near_dup_of_long_texts(spark):
     assert got == want
 
 
+def test_near_dup_of_repeated_ids(spark):
+    """Rows of one doc_id and different texts are linked, and stay or go, each by its own text."""
+    r = random.Random(1)
+    a, b, c, d, e, f = ([f"w{r.randint(0, 10**6)}" for _ in range(200)] for _ in range(6))
+    near = lambda x, k: " ".join([*x[:-2], f"z{k}", "z"])
+    own = [(5, " ".join(a)), (5, " ".join(b)), (6, near(b, 0)), (7, near(a, 1)), (5, " ".join(b))]  # both texts have copies
+    own += [(2, " ".join(c)), (9, near(c, 2)), (9, " ".join(d)), (10, near(d, 3))]  # one of 9's is a copy of 2
+    own += [(20, " ".join(e)), (20, near(e, 4)), (21, " ".join(f).upper()), (21, " ".join(f)), (22, ""), (22, None)]
+    rows = spark.createDataFrame([(i, t, None, None, 0) for i, t in own], DOC)
+    got = collections.Counter((x.doc_id, x.component_id) for x in near_dup.near_duplicates(rows, 5, 80).collect())
+    assert got == {(5, 5): 3, (6, 5): 1, (7, 5): 1, (2, 2): 1, (9, 2): 1, (9, 9): 1, (10, 9): 1, (20, 20): 2, (21, 21): 2, (22, 22): 2}
+    kept = near_dup.keep_one(rows, 5, 80).collect()
+    assert collections.Counter(x.doc_id for x in kept) == {5: 2, 2: 1, 9: 1, 20: 1, 21: 1, 22: 2}
+    assert {x.text for x in kept} >= {" ".join(x) for x in (a, b, c, d)}
+
+
 def test_suffix_automaton():
     text = b"abcabxabcd"
     go = language.suffix_automaton(text)
