@@ -16,6 +16,7 @@ import html
 import math
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split
 _BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre section select summary table caption colgroup tbody td tfoot th thead tr ul button noscript template svg canvas object video audio label".split())
 #: An element that closes an open one of these before it opens, up to the nearest of the bounds.
 _CLOSES = {t: ({"p"}, {"body", "div", "article", "section", "main", "td", "th", "li", "button"}) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
-_CLOSES |= {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
+_CLOSES |= {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _DROPPED = frozenset("script style textarea title iframe noembed noframes xmp head select option button template svg canvas object video audio noscript".split())
+#: Elements that leave an open head open; any other element, or text, ends it.
+_IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: Words in class, id and role by what they tell (fixed values).
 _TELLS = [
     frozenset("article body content entry main post story text prose page copy paragraph hentry".split()),
@@ -53,9 +56,12 @@ _TAG = {t: i for i, t in enumerate(_TAGS)}
 
 
 class Page:
-    """tag, parent, tells, attributes of nodes; texts: (block, node, dropped, raw text) in page order."""
+    """tag, parent, tells, attributes of nodes; texts: (block, node, raw text) in page order.
 
-    def __init__(self, source: str):
+    label, given for invented pages only, tells a node's class from its attributes; pages of a crawl
+    are read without one, whatever attributes they have."""
+
+    def __init__(self, source: str, label: Callable[[str], int | None] | None = None):
         self.tag, self.parent, self.tells, self.depth, self.labels = ["#"], [-1], [0], [0], [None]
         self.size, self.linked, self.commas = [0], [0], [0]
         self.texts: list[tuple[int, int, str]] = []
@@ -63,13 +69,25 @@ class Page:
         block = links = dropped = 0
         at, n = 0, len(source)
         match = _TOKEN.match
+
+        def shut(k):
+            nonlocal links, dropped
+            for closed, _ in stack[k:]:
+                links -= closed == "a"
+                dropped -= closed in _DROPPED
+            del stack[k:]
+
         while at < n:
             m = match(source, at)
             at = m.end()
             name = m[2]
             if name is None:
                 text = m[0]
-                if text[0] == "<" and len(text) > 1 or dropped:
+                if text[0] == "<" and len(text) > 1:
+                    continue
+                if stack[-1][0] == "head" and not text.isspace():
+                    shut(len(stack) - 1)
+                if dropped:
                     continue
                 node = stack[-1][1]
                 size = len(text.strip())
@@ -84,13 +102,12 @@ class Page:
             if m[1]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
-                        for closed, _ in stack[k:]:
-                            links -= closed == "a"
-                            dropped -= closed in _DROPPED
-                        del stack[k:]
+                        shut(k)
                         break
                 block += name in _BLOCK
                 continue
+            if stack[-1][0] == "head" and name not in _IN_HEAD:
+                shut(len(stack) - 1)
             if name == "br":
                 if not dropped:
                     self.texts.append((block, stack[-1][1], " "))
@@ -99,10 +116,7 @@ class Page:
                 closes, bounds = _CLOSES[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in closes:
-                        for closed, _ in stack[k:]:
-                            links -= closed == "a"
-                            dropped -= closed in _DROPPED
-                        del stack[k:]
+                        shut(k)
                         break
                     if stack[k][0] in bounds:
                         break
@@ -111,7 +125,7 @@ class Page:
             attributes = m[3]
             node = stack[-1][1]
             if not dropped and name not in _DROPPED and (is_block or "class" in attributes or "id=" in attributes):
-                tells, label = 0, None
+                tells = 0
                 if attributes.strip(" /"):
                     for key, a, b, c in _ATTRIBUTE.findall(attributes):
                         key = key.lower()
@@ -120,14 +134,12 @@ class Page:
                                 for i, known in enumerate(_TELLS):
                                     if part in known:
                                         tells |= 1 << i
-                        elif key == "data-y":
-                            label = int(a)
                 parent, node = node, len(self.tag)
                 self.tag.append(name)
                 self.parent.append(parent)
                 self.tells.append(tells)
                 self.depth.append(self.depth[parent] + 1)
-                self.labels.append(label)
+                self.labels.append(label(attributes) if label else None)
                 for x in (self.size, self.linked, self.commas):
                     x.append(0)
             if name in _VOID or attributes.endswith("/") and not is_block:
@@ -299,16 +311,23 @@ def _invented(r: random.Random) -> str:
     return f"<!DOCTYPE html><html{y(0)}><head><title>{say(1, 8)}</title><style>p{{}}</style></head><body{y(0)}>" + "".join(parts) + tail
 
 
+def invented(r: random.Random) -> Page:
+    """An invented page, parsed, with its nodes' classes in labels."""
+    page = Page(_invented(r), lambda attributes: int(m[1]) if (m := re.search(r'data-y="(\d)"', attributes)) else None)
+    page.labels[0] = CONTAINER
+    for i in range(1, len(page.tag)):
+        if page.labels[i] is None:
+            page.labels[i] = page.labels[page.parent[i]]
+    return page
+
+
 @functools.lru_cache(1)
 def trained(pages: int = PAGES, seed: int = SEED) -> Boosted:
     r, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
-        page = Page(_invented(r))
-        labels = [0]
-        for i in range(1, len(page.tag)):
-            labels.append(page.labels[i] if page.labels[i] is not None else labels[page.parent[i]])
+        page = invented(r)
         xs.append(page.features())
-        ys += labels
+        ys += page.labels
     return fit(np.concatenate(xs), np.array(ys), 3)
 
 

@@ -61,16 +61,38 @@ def test_words(texts):
 def test_boosting_and_pages():
     model, r, exact = html_main.trained(), random.Random(99), 0
     for _ in range(60):
-        page = html_main.Page(html_main._invented(r))
-        labels = [0]
-        for i in range(1, len(page.tag)):
-            labels.append(page.labels[i] if page.labels[i] is not None else labels[page.parent[i]])
+        page = html_main.invented(r)
+        labels = page.labels
         got = page.decode(model.scores(page.features()))
         assert all(got[i] == 2 or got[page.parent[i]] != 2 for i in range(1, len(got)))
         exact += page.text(got) == page.text(labels)
     assert exact >= 55
 
 
+#: Hand-made pages, none by the generator that trains the trees, and their main texts.
+_P = "Some words of an article that go on for a while, so that it reads like prose."
+PAGES = [
+    ("<head><title>t</title><article><h1>T</h1><p>" + _P + "</article>", "T\n" + _P),  # the head is never closed
+    ("<html><head><meta charset=utf-8><p>" + _P, _P),
+    ("<body><article data-y=left><p data-y>" + _P + "</p><p data-y='3'>" + _P + "</p></article></body>", _P + "\n" + _P),
+    ("<body><div id=nav><ul><li><a href=a>A</a><li><a href=b>B</a></ul></div><div class=content><h2>Head &amp; line</h2><p>" + _P + "</p><p>" + _P + "</p></div><div class=footer>c 2020</div></body>", "Head & line\n" + _P + "\n" + _P),
+    ("<body><header><h1>Site</h1></header><main><h1>Title</h1><p>" + _P + "</p><div class=comments><p>me too</p></div></main><aside>see also</aside><footer>x</footer></body>", "Title\n" + _P),
+    ("<body><section class=post-body><p>" + _P + "</p><div class='ad banner'>buy</div><p>a &lt;b&gt;&#233;\n c<br>d</p></section><form><input><p>Sign up</p></form></body>", _P + "\na <b>\xe9 c d"),
+    ("<article><p>" + "<b>" * 3000 + _P, _P),
+]
+
+
+def test_html_of_hand_made_pages(spark):
+    long = "<body><nav><a href=x>m</a></nav><article><h1>L</h1>" + "".join(f"<p>{_P} {i}</p>" for i in range(20_000)) + "</article></body>"
+    made = [*PAGES, (long, "\n".join(["L", *(f"{_P} {i}" for i in range(20_000))]))]
+    rows = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(made)] * 2, "page_id long, url string, html string")
+    got = html_main.extract(rows).collect()
+    assert len(got) == 2 * len(made)
+    assert [t for *_, t in html_main.Page("<head><title>x</title> a<p>b").texts] == [" a", "b"]  # text ends a head, too
+    for r in got:
+        assert (r.text, r.n_chars) == (made[r.page_id][1], len(made[r.page_id][1])), r.page_id
+
+
 def test_html(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
     own = [(-1, None, None), (-2, "u", ""), (-3, "u", "<html><body><nav><a href=x>m</a></nav><article><h1>T</h1><p>a &lt;b&gt;\n  c<p>d<aside>no</aside><form>n</form><section class=comments><p>c</p></section></article><footer>f</footer>"), (-4, "u", "<" * 50)]
