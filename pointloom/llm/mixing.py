@@ -44,7 +44,7 @@ def _running(df: DataFrame, group: str, block: str, order: list[str], value) ->
     sums = sums.withColumn("b0", F.coalesce(F.sum("v").over(Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("v")
     inside = Window.partitionBy(group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("b1", F.coalesce(F.sum("value").over(inside), F.lit(0)))
-    return df.join(sums, [group, block]).withColumn("before", F.col("b0") + F.col("b1")).drop("b0", "b1", "value")
+    return df.join(sums.hint("merge"), [group, block]).withColumn("before", F.col("b0") + F.col("b1")).drop("b0", "b1", "value")
 
 
 def _bit_reverse(k, bits: int):
@@ -65,10 +65,12 @@ def schedule(sources: DataFrame, block: int, bits: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The taken words of every row, and the schedule.
+    """The taken words of every row with its places, and the schedule.
 
-    The first has doc_id, source, size (words; null text 0), source_size, target (of its source) and
-    taken, for every row of docs, repeated ids included; the second is schedule(). Sources are ordered
+    The first has doc_id, source, size (words; null text 0), source_size, target (of its source),
+    taken and places, for every row of docs, repeated ids included; the second is schedule(). places
+    are those of the first slot that takes words of the row, in each epoch in which one does, in order of
+    the epochs: at most MOST_EPOCHS of them. Sources are ordered
     by code point with null last and weigh 1, 2, 3, repeating. taken adds up to each source's target,
     rounded, and is at most MOST_EPOCHS times size. Equal documents are ordered by hash, doc_id and
     size, so reruns agree. Other columns are ignored; empty in, empty out.
@@ -94,29 +96,39 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     slots = schedule(sources, block, bits)
     held = placed.where("size > 0").select("s", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("b"))
-    met = held.join(slots.select("s", "b", "begin", "n"), ["s", "b"])
+    # slots grow with the words: never broadcast
+    met = held.join(slots.select("s", "b", "begin", "n", "epoch", "place").hint("merge"), ["s", "b"])
     overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("begin") + F.col("n")) - F.greatest("start", "begin"))
-    sums = met.groupBy("s", "start").agg(F.sum(overlap).alias("t"))
-    out = placed.join(sums, ["s", "start"], "left")
-    taken = F.when(F.col("size") > 0, F.coalesce("t", F.lit(0))).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken")), slots
+    met = met.withColumn("overlap", overlap)
+    first = [F.min(F.when((F.col("overlap") > 0) & (F.col("epoch") == e), F.col("place"))) for e in range(MOST_EPOCHS)]
+    sums = met.groupBy("s", "start").agg(F.sum("overlap").alias("t"), F.array_compact(F.array(*first)).alias("p"))
+    out = placed.join(sums.hint("merge"), ["s", "start"], "left")
+    some = F.col("size") > 0
+    taken = F.when(some, F.coalesce("t", F.lit(0))).otherwise(0).cast("long")
+    places = F.when(some, F.coalesce("p", F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), places.alias("places")), slots
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them, in whole documents: each row taken / size times, rounded; all columns.
+    """docs as the mix takes them, in whole documents and in the schedule's order; all columns.
 
-    Rows of null doc_id, and those that repeat one, are taken as rows: the k-th of those of equal doc_id,
-    source and size as often as the k-th such row of the mix, which doesn't tell them apart."""
+    Each row is taken taken / size times, rounded: its k-th copy stands at the place where the k-th epoch
+    in which the schedule meets it begins to take its words (the last such epoch for a copy that only
+    rounding gives). Rows of null doc_id, and those that repeat one, are taken as rows: the k-th of those
+    of equal doc_id, source and size as often as the k-th such row of the mix, which doesn't tell them
+    apart. Rows without words, and null texts, aren't taken; empty in, empty out."""
     shares, _ = mix(docs)
-    shares = cut(shares.select("doc_id", "source", "size", F.coalesce(F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))), F.lit(0)).cast("int").alias("times")))
-    by_id = shares.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"), F.sum("times").cast("int").alias("times"))
+    shares = cut(shares.select("doc_id", "source", "size", F.coalesce(F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))), F.lit(0)).cast("int").alias("times"), "places"))
+    by_id = shares.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"), F.sum("times").cast("int").alias("times"), F.min("places").alias("places")).where("times > 0")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("key"))
-    named = rows.join(by_id.where("times > 0"), "key")
-    once, others = named.where("rows = 1").select("doc", "times"), named.where("rows > 1").select("doc", "key").union(rows.where("key is null"))
+    named = rows.join(by_id.hint("merge"), "key")
+    once, others = named.where("rows = 1").select("doc", "times", "places"), named.where("rows > 1").select("doc", "key").union(rows.where("key is null"))
 
     equal = ["key", "source", "size"]
     others = others.select("doc", "key", F.col("doc.source").cast("string").alias("source"), F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     others = others.withColumn("k", F.row_number().over(Window.partitionBy(*equal).orderBy(F.xxhash64("doc.text")))).alias("o")
-    ranked = shares.withColumnRenamed("doc_id", "key").withColumn("k", F.row_number().over(Window.partitionBy(*equal).orderBy("times"))).where("times > 0").alias("r")
-    met = others.join(ranked, [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*equal, "k")]).select("doc", "times")
-    return once.union(met).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
+    ranked = shares.withColumnRenamed("doc_id", "key").withColumn("k", F.row_number().over(Window.partitionBy(*equal).orderBy("times", "places"))).where("times > 0").alias("r")
+    met = others.join(ranked, [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*equal, "k")]).select("doc", "times", "places")
+    copies = once.union(met).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    at = F.expr("element_at(places, least(time, size(places)))")
+    return copies.select("doc", at.alias("place"), "time").repartitionByRange("place").sortWithinPartitions("place", "time", "doc.doc_id").select("doc.*")

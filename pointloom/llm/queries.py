@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, html_main, language, mixing, near_dup, ngram, packing, token_counts, vectors
 from .spark_util import table
@@ -38,7 +39,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return shares.select("doc_id", "size", "source_size", "target", "taken")
+    return shares.select("doc_id", "size", "source_size", "target", "taken", F.get("places", F.lit(0)).alias("first_place"), F.size("places").cast("long").alias("epochs"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

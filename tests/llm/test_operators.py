@@ -244,10 +244,38 @@ def test_fullest_bin():
         assert sum(plans[0][1]) == top + max(s for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if (s := sum(c)) <= 40 - top)
 
 
-def test_mixing(docs):
+def mixed_by_hand(rows, taken_size):
+    """{(doc_id, place in the stream): (taken, places)} of one pass over each source's schedule, plainly; rows are
+    (source, hash, doc_id, size), taken_size by source; sources in order."""
+    total = sum(r[3] for r in rows)
+    block = max(1, min(mixing.LARGEST_BLOCK, total >> 16))
+    names = sorted({r[0] for r in rows}, key=lambda x: (x is None, x))
+    sizes = {k: sum(r[3] for r in rows if r[0] == k) for k in names}
+    slots = {k: [(e, b) for e in range(-(-taken_size[k] // sizes[k])) for b in range(-(-min(sizes[k], taken_size[k] - e * sizes[k]) // block))] if sizes[k] else [] for k in names}
+    needed = sum(map(len, slots.values()))
+    bits, first, out = max(0, (needed - 1).bit_length()), 0, {}
+    for k in names:
+        places = sorted(int(f"{first + i:b}".zfill(bits)[::-1], 2) if bits else 0 for i in range(len(slots[k])))
+        first += len(slots[k])
+        start = 0
+        for own in sorted(r[1:] for r in rows if r[0] == k):
+            n, met = 0, {}
+            for place, (e, b) in zip(places, slots[k], strict=True):
+                end = min(b * block + block, sizes[k], taken_size[k] - e * sizes[k])
+                over = min(start + own[2], end) - max(start, b * block)
+                if over > 0:
+                    n += over
+                    met.setdefault(e, place)
+            out[k, start, *own] = (n, list(met.values()))
+            start += own[2]
+    return out
+
+
+def test_mixing(docs, spark, monkeypatch):
     shares, slots = mixing.mix(docs)
     rows = shares.collect()
-    assert sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in mixing.mix(docs)[0].collect()) if all(r.source is not None for r in rows) else True
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(rows, key=key) == sorted(mixing.mix(docs.repartition(7))[0].collect(), key=key)  # reruns agree
     assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
     size, taken, target = collections.Counter(), collections.Counter(), {}
     real = {r.doc_id: len(split(r.text)) for r in docs.collect()}
@@ -267,12 +295,38 @@ def test_mixing(docs):
         full |= over
     for k in names:
         assert target[k] == pytest.approx(want[k], rel=1e-9, abs=1e-6) and abs(taken[k] - want[k]) <= 1
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    plain = mixed_by_hand([(r.source, hashes[r.doc_id], r.doc_id, r.size) for r in rows], {k: min(math.floor(want[k] + 0.5), 3 * size[k]) for k in names})
+    shown = lambda x: sorted(x, key=str)
+    assert shown((r.source, r.doc_id, r.size, r.taken, r.places) for r in rows) == shown((k, d, n, t, p if n else []) for (k, _, _, d, n), (t, p) in plain.items())
     # any run of places holds about its share of each source
     places = slots.select("place", "s").collect()
     counts, half = collections.Counter(p.s for p in places), max(p.place for p in places) // 2
     first = collections.Counter(p.s for p in places if p.place <= half)
     assert all(abs(first[s] - counts[s] / 2) <= 12 for s in counts)
     assert mixing.mix(docs.limit(0))[0].count() == 0
+    mixed = [r.doc_id for r in mixing.mixed(docs).collect()]
+    monkeypatch.setattr(mixing, "_bit_reverse", lambda k, bits: k)  # without the schedule the mix is another
+    assert {r.doc_id: r.places for r in mixing.mix(docs)[0].collect()} != {r.doc_id: r.places for r in rows}
+    other = [r.doc_id for r in mixing.mixed(docs).collect()]
+    assert sorted(other) == sorted(mixed) and other != mixed
+
+
+def test_mixed_is_in_schedule_order(docs):
+    once = [r.doc_id for r in mixing.mixed(docs.where("doc_id >= 0")).collect()]
+    at = {r.doc_id: r.places for r in mixing.mix(docs.where("doc_id >= 0"))[0].collect()}
+    seen, got = collections.Counter(), []
+    for d in once:
+        got.append(at[d][min(seen[d], len(at[d]) - 1)])
+        seen[d] += 1
+    assert got == sorted(got) and len(set(got)) > 100
+
+
+def test_mixing_without_words(spark):
+    rows = spark.createDataFrame([(1, "", None, "a", 0), (2, None, None, "a", 0), (None, " ", None, None, 0)], DOC)
+    got = mixing.mix(rows)[0].collect()
+    assert sorted((r.size, r.source_size, r.target, r.taken, r.places) for r in got) == [(0, 0, 0.0, 0, [])] * 3
+    assert mixing.mixed(rows).count() == 0 and mixing.mixed(rows).columns == rows.columns
 
 
 def test_mixed_takes_rows_of_null_and_repeated_id(spark):
