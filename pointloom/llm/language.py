@@ -2,9 +2,14 @@
 
 A suffix automaton of a bounded sample of labelled text per language accepts exactly the substrings
 of that sample. A text is parsed greedily into phrases, each the longest match from where the last
-one ended; the language that needs the fewest phrases a byte wins. The automaton is completed with
-restart transitions, so that a parse is one table lookup a byte, and texts are parsed side by side
-in blocks of BLOCK bytes (a block boundary ends a phrase): whole texts, whatever their length.
+one ended; the language that needs the fewest normalised phrases wins: a phrase costs the logarithm
+of its sample's length, the bits of a pointer into it, so that unequal samples compare.
+
+The automaton is completed with restart transitions, so that a parse is one table lookup a byte. Blocks of
+BLOCK bytes are parsed side by side, each as if a phrase began with it; then each is parsed again
+from the state in which the one before it really ended, beside its first parse, up to where both are in the
+same state, and what the two counted differently is made good. That is repeated for blocks whose
+end it changed, so the phrases are those of one parse of the whole text, whatever its length.
 """
 
 from __future__ import annotations
@@ -15,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import resident, words
-from .spark_util import crc_bucket
+from .spark_util import crc_bucket, cut
 
 #: The sample: for each language the rows of lowest hash in this many hash classes, and so many bytes of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES, ROW_BYTES = 64, 32_000, 1_000
+#: At most so many languages are learned, those with the most labelled rows, and so many bytes of samples in all.
+MOST_LANGS, ALL_BYTES = 256, 512_000
 BLOCK = 512
 #: A text whose best language matches fewer bytes than this a phrase is in no learned language.
 LEAST_PHRASE = 1.5
@@ -77,6 +84,7 @@ class CrossParser:
         self.code = self.code[_CLASS]
         width = self.width = len(seen) + 1
         at = {c: i for i, c in enumerate(seen)}
+        self.weights = np.array([np.log2(len(texts[k]) + 2) for k in self.langs])
         tables, self.roots, base = [], [], 0
         for lang in self.langs:
             go = suffix_automaton(texts[lang])
@@ -89,13 +97,14 @@ class CrossParser:
             restart[0] = True
             # entries are row offsets times 2, and odd where a phrase begins with this byte
             table = (np.where(restart, first, table) + base) * (2 * width) + restart
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             self.roots.append(base * width)
             base += len(go)
-        self.table = np.concatenate(tables).ravel()
+        self.kind = np.int32 if base * 2 * width < 1 << 31 else np.int64
+        self.table = np.concatenate([t.astype(self.kind) for t in tables]).ravel()
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """[rows, languages]: phrases of each row's bytes."""
+        """[rows, languages]: phrases of each row's bytes, parsed whole."""
         sizes = np.diff(offsets)
         blocks = -(-sizes // BLOCK)
         row = np.repeat(np.arange(len(sizes)), blocks)
@@ -105,7 +114,7 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         begin, size, coded = begin[order], size[order], self.code[data]
         counts = np.zeros((len(self.langs), len(row)), np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(row), 1)
+        state = np.repeat(np.array(self.roots, self.kind)[:, None], len(row), 1)
         live = np.searchsorted(-size, -np.arange(BLOCK), side="left")
         for t in range(int(size[0]) if len(size) else 0):
             n = live[t]
@@ -113,28 +122,74 @@ class CrossParser:
             step = self.table[state[:, :n] + symbol]
             counts[:, :n] += step & 1
             state[:, :n] = step >> 1
+        self._carry(coded, begin, size, order, row, counts, state)
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(row[order], weights=counts[k], minlength=len(sizes))
         return out
 
 
+    def _carry(self, coded, begin, size, order, row, counts, state) -> None:
+        """Corrects counts and end states of blocks parsed from the root to those of one parse a row, in place."""
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))  # of a block among the sorted
+        after = np.full(len(order), -1)  # the sorted place of the block that follows a sorted one in its row
+        follows = np.flatnonzero(row[1:] == row[:-1])
+        after[place[follows]] = place[follows + 1]
+        roots = np.array(self.roots, self.kind)
+        # what each block was last parsed from: (language, block) pairs whose start has changed
+        lang, block = np.nonzero((after >= 0)[None] & (state != roots[:, None]))
+        block = after[block]
+        started = np.repeat(roots[:, None], len(order), 1)
+        while len(block):
+            # the block before each of these
+            before = place[order[block] - 1]
+            new, old = state[lang, before], started[lang, block]
+            moved = np.flatnonzero(new != old)
+            lang, block, new, old = lang[moved], block[moved], new[moved], old[moved]
+            started[lang, block] = new
+            more = np.zeros(len(block), np.int64)
+            live, t, end = np.arange(len(block)), 0, np.full(len(block), -1, self.kind)
+            while len(live):
+                b = block[live]
+                symbol = coded[begin[b] + t]
+                a, c = self.table[new[live] + symbol], self.table[old[live] + symbol]
+                more[live] += (a & 1).astype(np.int64) - (c & 1)
+                new[live], old[live] = a >> 1, c >> 1
+                t += 1
+                apart = new[live] != old[live]
+                over = apart & (size[b] <= t)
+                end[live[over]] = new[live[over]]
+                live = live[apart & ~over]
+            np.add.at(counts, (lang, block), more)
+            changed = np.flatnonzero(end >= 0)
+            lang, block = lang[changed], block[changed]
+            state[lang, block] = end[changed]
+            on = np.flatnonzero(after[block] >= 0)
+            lang, block = lang[on], after[block[on]]
+
+
 def fit(docs: DataFrame, modulus: int | None = 5) -> dict[str, bytes]:
     """The samples, from rows with text and lang whose crc32(doc_id as text) mod modulus is not 0.
 
-    At most SAMPLE_ROWS rows a language reach the driver, and ROW_BYTES of each; their ids, two numbers
-    each, are the only broadcast."""
+    At most SAMPLE_ROWS rows a language reach the driver, for MOST_LANGS languages, and ROW_BYTES of each;
+    their ids, two numbers each, are the only broadcast. With many languages each has a smaller sample."""
     known = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"), F.col("lang").alias("l")).where("t is not null and l is not null and id is not null")
     if modulus:
         known = known.where(crc_bucket(F.col("id"), modulus) != 0)
     h = F.xxhash64("id")
-    picked = known.groupBy("l", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "id")).alias("p")).select(F.col("p.id").alias("id"), F.col("p.h").alias("h"))
+    picked = cut(known.groupBy("l", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "id")).alias("p"), F.count("*").alias("n")))
+    langs = [r.l for r in picked.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGS).collect()]
+    most = min(SAMPLE_BYTES, ALL_BYTES // max(1, len(langs)))
+    if len(langs) == MOST_LANGS:
+        picked = picked.where(F.col("l").isin(langs))
+    picked = picked.select(F.col("p.id").alias("id"), F.col("p.h").alias("h"))
     rows = known.join(F.broadcast(picked.distinct()), "id").select("l", "h", "id", F.encode(F.substring("t", 1, ROW_BYTES), "utf-8").alias("b")).collect()
     samples: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.h, r.id, bytes(r.b))):
         have = samples.get(r.l, b"")
-        if len(have) < SAMPLE_BYTES:
-            samples[r.l] = have + b" " + bytes(r.b)[: SAMPLE_BYTES - len(have)]
+        if len(have) < most:
+            samples[r.l] = have + b" " + bytes(r.b)[: most - len(have)]
     return samples
 
 
@@ -152,28 +207,33 @@ def judge(texts: pa.Array, letters: pa.Array, samples: dict[str, bytes]) -> tupl
     if parser is None or not n:
         return np.full(n, -1), np.zeros(n), np.zeros(n)
     p = parser.phrases(data, offsets)
-    least = p.min(1)
-    second = np.partition(p, 1, axis=1)[:, 1] if p.shape[1] > 1 else least
+    bits = p * parser.weights
+    best, least = bits.argmin(1), bits.min(1)
+    second = np.partition(bits, 1, axis=1)[:, 1] if p.shape[1] > 1 else least
     score = np.where(some, 1 - least / np.maximum(second, 1) if p.shape[1] > 1 else 1.0, 0.0)
-    return np.where(some, p.argmin(1), -1), score.astype(np.float64), np.diff(offsets) / np.maximum(least, 1)
+    return np.where(some, best, -1), score.astype(np.float64), np.diff(offsets) / np.maximum(p[np.arange(n), best], 1)
+
+
+#: A name of this column's own: an input column of a plain name would clash.
+LETTERS = "__pointloom_has_letters"
 
 
 def _with_letters(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_has_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    return docs.withColumn(LETTERS, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
 
 def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """(doc_id, lang_pred, score, phrase_len) for every row.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or nothing was learned;
-    ties go to the smaller lang. score is 1 - fewest / second fewest phrases (1 where one language was
-    learned); phrase_len is bytes a phrase in the winner. Empty in, empty out."""
+    ties go to the smaller lang. score is 1 - fewest / second fewest normalised phrases (1 where one language
+    was learned); phrase_len is bytes a phrase in the winner. Empty in, empty out."""
     names = pa.array(["und", *sorted(samples)])
 
     def run(batches):
         for batch in batches:
             for part in words.slices(batch, "text"):
-                best, score, size = judge(part.column("text"), part.column("_has_letters"), samples)
+                best, score, size = judge(part.column("text"), part.column(LETTERS), samples)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), names.take(pa.array(best + 1)), pa.array(score), pa.array(size)], names=["doc_id", "lang_pred", "score", "phrase_len"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -197,7 +257,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in words.slices(batch, "text"):
-                best, _, size = judge(part.column("text"), part.column("_has_letters"), samples)
+                best, _, size = judge(part.column("text"), part.column(LETTERS), samples)
                 yield part.select(columns).filter(pa.array((best >= 0) & (size >= LEAST_PHRASE)))
 
     return _with_letters(docs).mapInArrow(run, docs.schema)

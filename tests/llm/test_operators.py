@@ -503,6 +503,13 @@ def test_language(docs, spark):
 
     for t, row in zip(tx, counts.tolist(), strict=True):
         assert row == [greedy(t, "hello world"), greedy(t, "guten tag")]
+    r = random.Random(3)  # one parse of the whole text, across blocks, where phrases are as long as a block and where they never fall in step
+    sample = {"a": ("ab" * 900 + "abc" * 200).encode(), "b": "".join(r.choice("abcd ") for _ in range(3000)).encode()}
+    parser = language.CrossParser(sample)
+    tx = ["ab" * 2000, "b" + "ab" * 1500 + "abc" * 700, "a" * 1400, "".join(r.choice("abcd ") for _ in range(5000)), "cab" * 1111, sample["b"].decode()[7:2900] + "z" + "ab" * 600, "x"]
+    counts = parser.phrases(*words.utf8(pa.array(tx)))
+    assert counts.tolist() == [[greedy(t, sample[k].decode()) for k in "ab"] for t in tx]
+    assert parser.weights[0] < parser.weights[1]  # phrases of a longer sample cost more
     rows = language.identify(docs).join(docs.select("doc_id", "lang", "text").distinct(), "doc_id").collect()
     held = [r.lang == r.lang_pred for r in rows if r.held_out and r.lang and r.doc_id >= 0]
     assert sum(held) >= 0.95 * len(held)
@@ -511,6 +518,27 @@ def test_language(docs, spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_keep_known(docs, spark):
+    """Brute force: the rows whose prediction is a language with long enough phrases, all columns as they were."""
+    odd = docs.withColumn("_has_letters", F.lit(False)).withColumn("lang_pred", F.lit("x"))
+    samples = language.fit(odd, None)
+    good = {r.doc_id for r in language.predict(odd, samples).collect() if r.lang_pred != "und" and r.phrase_len >= language.LEAST_PHRASE}
+    kept = language.keep_known(odd)
+    assert kept.columns == odd.columns
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, kept.collect())) == sorted(key(r) for r in odd.collect() if r.doc_id in good)
+    assert {-1, -2, -3}.isdisjoint(good) and len(good) > 150
+    assert language.keep_known(odd.limit(0)).count() == 0
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGS", 3)
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(["lo", "mi", "ra"]) + k for _ in range(30)), k, None, 0) for i, k in enumerate(["a", "b", "c"] * 20 + ["d", "e"] * 3)]
+    samples = language.fit(spark.createDataFrame(rows, DOC), None)
+    assert sorted(samples) == ["a", "b", "c"] and all(len(x) <= language.SAMPLE_BYTES for x in samples.values())
+
+
 def test_pipeline(spark, data, tmp_path):
     import corpus_pipeline as p
 
