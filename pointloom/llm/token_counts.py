@@ -5,6 +5,12 @@ pre-tokens of a slice are inserted in a trie, level by level; the best score of
 prefix is computed once for its node, from its ancestors, and the node where a pre-token ends stores
 its count. Terminal counts are kept from slice to slice, up to KEPT of them.
 
+The trie is LONGEST levels deep, which is the longest piece too; what a longer pre-token has below that is a
+path without branches. The same recurrence goes on there from the node's scores, in blocks of TAIL
+bytes side by side: each is first scored as if a token began with it, then again from the scores that the block
+before it really ended with, up to where the last LONGEST scores differ by one constant from the first
+ones', which is then added to the rest. So scores are those of the whole pre-token, whatever its length.
+
 Pieces are those of a public vocabulary file, whose scores are ranks; a piece's unigram score is the
 Zipf law's log probability of its rank, in ten-thousandths (so sums are exact). Any byte is a token at
 BYTE_SCORE. Of segmentations with the best score the one with the fewest tokens counts.
@@ -29,6 +35,7 @@ LONGEST, CHUNK, KEPT = 64, 50_000, 1_000_000
 _R = np.uint64(0xD6E8FEB86659FD93)
 _V = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.int64(-(1 << 62))
+TAIL, TAIL_BLOCKS = 512, 4096
 
 
 def default_vocabulary() -> str:
@@ -57,6 +64,7 @@ class Vocabulary:
         self.hashes, self.values = h[order], np.array([self.pieces[k] for k in keys], np.int64)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.window = self.sizes[-1]
         self.powers = np.array([pow(int(_R), n, 1 << 64) for n in range(LONGEST + 1)], np.uint64)
 
     @staticmethod
@@ -80,7 +88,7 @@ class Vocabulary:
         return out
 
     def one(self, word: bytes) -> tuple[int, int]:
-        """Tokens and score of one pre-token of any length, by plain dynamic programming on pairs."""
+        """Tokens and score of one pre-token, by plain dynamic programming on pairs: what tests hold many() against."""
         text = MARK + word
         best: list[tuple[int, int]] = [(0, 0)]
         for i in range(1, len(text) + 1):
@@ -97,10 +105,11 @@ class Vocabulary:
             best.append(top)
         return -best[-1][1], best[-1][0]
 
-    def many(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Combined values of pre-tokens of at most LONGEST bytes with their mark, by a trie of them all."""
+    def many(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and scores of pre-tokens, by a trie of them all and, below it, by tails()."""
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order] + len(MARK)
+        starts, whole = starts[order], sizes[order] + len(MARK)
+        sizes = np.minimum(whole, LONGEST)
         n, deep = len(starts), int(sizes[0])
         prefix, best = np.zeros((deep + 1, n), np.uint64), np.zeros((deep + 1, n), np.int64)
         live = np.searchsorted(-sizes, -np.arange(deep + 1), side="right")
@@ -117,8 +126,98 @@ class Vocabulary:
                 hit = np.flatnonzero(value != _NONE)
                 top[hit] = np.maximum(top[hit], best[d - k, node[hit]] + value[hit])
             best[d, :m] = top[of]
-        out = np.empty(n, np.int64)
-        out[order] = best[sizes, np.arange(n)]
+        value = best[sizes, np.arange(n)]
+        tokens, scores = np.empty(n, np.int64), np.empty(n, np.int64)
+        tokens[order], scores[order] = self.apart(value)
+        long = int(np.searchsorted(-whole, -LONGEST, side="left"))
+        if long:
+            last = (best[-self.window :, :long] - best[-1, :long]).T
+            more = self.tails(data, starts[:long], whole[:long], last)
+            tokens[order[:long]] += more[0]
+            scores[order[:long]] += more[1]
+        return tokens, scores
+
+    @staticmethod
+    def apart(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens and scores of combined values of fewer than COUNT tokens."""
+        return (-value) % COUNT, -((-value) // COUNT)
+
+    def _step(self, best: np.ndarray, prefix: np.ndarray, rows: np.ndarray, at: np.ndarray, i: int) -> None:
+        """best[rows, i] from the columns before; at: the rows' places in prefix."""
+        own, top = prefix[at, i], np.full(len(rows), _NONE)
+        for k in self.sizes:
+            value = self.lookup(own - prefix[at, i - k] * self.powers[k])
+            hit = np.flatnonzero(value != _NONE)
+            top[hit] = np.maximum(top[hit], best[rows[hit], i - k] + value[hit])
+        best[rows, i] = top
+
+    def tails(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and scores of what follows byte LONGEST of pre-tokens of `sizes` bytes with their mark.
+
+        last: the window (as many scores as the longest piece has bytes) up to there, less its last one."""
+        w = self.window
+        count = -(-(sizes - LONGEST) // TAIL)
+        of = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        begin = LONGEST + number * TAIL
+        size = np.minimum(TAIL, sizes[of] - begin)
+        tokens, scores = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        fresh = np.full(w, _NONE)
+        fresh[-1] = 0
+        for lo in range(0, len(of), TAIL_BLOCKS):
+            own = slice(lo, lo + TAIL_BLOCKS)
+            o, n, m = of[own], size[own], len(of[own])
+            # column i stands for byte begin - w + i of the pre-token; columns 1 .. w are the window before the block
+            at = begin[own, None] - w + np.arange(w + TAIL)
+            byte = data[np.clip(starts[o, None] + at - len(MARK), 0, len(data) - 1)]
+            for i, b in enumerate(MARK):
+                byte[at == i] = b
+            prefix = np.zeros((m, w + TAIL + 1), np.uint64)
+            for i in range(w + TAIL):
+                prefix[:, i + 1] = prefix[:, i] * _R + _V[byte[:, i]]
+            best = np.full((m, w + TAIL + 1), _NONE)
+            best[:, 1 : w + 1] = fresh
+            heads = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            best[heads, 1 : w + 1] = last[o[heads]]
+            every = np.arange(m)
+            for i in range(w + 1, w + int(n.max()) + 1):
+                self._step(best, prefix, every, every, i)
+            ends = lambda rows: self._window(best, rows, w + n[rows])
+            again = np.setdiff1d(every, heads)
+            while len(again):
+                new = np.full((len(again), w + TAIL + 1), _NONE)
+                new[:, 1 : w + 1] = ends(again - 1)
+                before, live, changed = ends(again), np.arange(len(again)), []
+                i = w
+                while len(live):
+                    i += 1
+                    self._step(new, prefix, live, again[live], i)
+                    over = n[again[live]] == i - w
+                    if (i - w) % 8 == 0 or over.any():
+                        rows = again[live]
+                        same = (self._window(new, live, np.full(len(live), i)) == self._window(best, rows, np.full(len(live), i))).all(1)
+                        for k in np.flatnonzero(same | over):
+                            r, x = rows[k], new[live[k]]
+                            if same[k]:
+                                best[r, i + 1 :] += x[i] - best[r, i]
+                            best[r, : i + 1] = x[: i + 1]
+                            if not same[k]:
+                                changed.append(live[k])
+                        live = live[~(same | over)]
+                changed = np.array(changed, np.int64)
+                changed = changed[(ends(again[changed]) != before[changed]).any(1)]
+                follows = again[changed] + 1
+                again = follows[(follows < m) & ~np.isin(follows, heads)]
+            got = self.apart(best[every, w + n])
+            np.add.at(tokens, o, got[0])
+            np.add.at(scores, o, got[1])
+            last[o[-1]] = ends(np.array([m - 1]))[0]
+        return tokens, scores
+
+    def _window(self, best: np.ndarray, rows: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The scores up to column end of each row, less the last of them."""
+        out = best[rows[:, None], end[:, None] - np.arange(self.window - 1, -1, -1)] - best[rows, end][:, None]
+        out[out < _NONE >> 1] = _NONE
         return out
 
 
@@ -140,14 +239,9 @@ class Counter:
         tokens[known], scores[known] = self.tokens[at[known]], self.scores[at[known]]
         new = np.flatnonzero(~known)
         s, n = starts[first[new]], (ends - starts)[first[new]]
-        short = np.flatnonzero(n <= LONGEST - len(MARK))
-        value = np.zeros(len(new), np.int64)
-        for a in range(0, len(short), CHUNK):
-            part = short[a : a + CHUNK]
-            value[part] = self.vocabulary.many(data, s[part], n[part])
-        tokens[new], scores[new] = (-value) % COUNT, -((-value) // COUNT)
-        for i in np.flatnonzero(n > LONGEST - len(MARK)):
-            tokens[new[i]], scores[new[i]] = self.vocabulary.one(data[s[i] : s[i] + n[i]].tobytes())
+        for a in range(0, len(new), CHUNK):
+            part = slice(a, a + CHUNK)
+            tokens[new[part]], scores[new[part]] = self.vocabulary.many(data, s[part], n[part])
         if len(self.hashes) + len(new) > KEPT:
             self.hashes, self.tokens, self.scores = distinct, tokens, scores
         elif len(new):

@@ -205,6 +205,20 @@ def test_token_counts(docs):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_long_pre_tokens(docs):
+    v = token_counts.Vocabulary(token_counts.default_vocabulary())
+    r = random.Random(7)
+    prose = "".join(split(" ".join(x.text or "" for x in docs.where("doc_id < 20 and doc_id >= 0").collect())))
+    long = ["a" * 61, "a" * 62, "a" * 573, "a" * 5000, prose[:4000], prose[:4000] + "x", prose[:60] + "日本語" * 900, "日" * 400, "".join(r.choice("ABCDabcd0123+/") for _ in range(3000)), "the" * 1000, "=" * 2000, "é" * 31, "b"]
+    data, ends = b" ".join(x.encode() for x in long), np.cumsum([len(x.encode()) + 1 for x in long])
+    sizes = np.array([len(x.encode()) for x in long])
+    for blocks in (4096, 3):
+        token_counts.TAIL_BLOCKS = blocks
+        tokens, scores = v.many(np.frombuffer(data, np.uint8), ends - 1 - sizes, sizes)
+        assert list(zip(tokens.tolist(), scores.tolist(), strict=True)) == [v.one(x.encode()) for x in long]
+    token_counts.TAIL_BLOCKS = 4096
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
