@@ -7,16 +7,24 @@ that texts never hold a control string and unescaping takes one away.
 Windows: prefix sums of the turns' tokens choose spans of whole turns within the budget; a window
 is the conversation's system turn (unless the span holds it), up to `history` tokens of the turns
 before the span, and the span. The loss mask is the texts of the span's assistant turns: repeated turns are
-never targets, so each assistant text is a target once. Turns are taken in blocks of BLOCK turn
-numbers, and windows and history don't cross them: a conversation of any length is spread over tasks.
+never targets, so each assistant text is a target once. A token here is a run of letters and digits or one
+other character that is not white space, which needs no vocabulary and stays in SQL functions.
+
+A conversation of any length is spread over tasks: turns are dealt by range of conversation and turn, prefix
+sums are made in two levels, inside the ranges and over the ranges' totals, and windows are cut in
+blocks of BLOCK tokens by the prefix sums, whatever the turns are numbered. A span doesn't cross a
+block, which costs one window in about BLOCK / budget; the history does: a block takes over the turns at
+the end of the one before, which is the one whose tokens end where its own begin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY, BLOCK = 512, 128, 256
+from .spark_util import cut, shuffle_partitions
+
+BUDGET, HISTORY, BLOCK = 512, 128, 32_768
 #: The control strings of this and of related templates (fixed values).
 CONTROL = r"/?s>|/?INST\]|<SYS>>|</SYS>>"
 _ESCAPE = (rf"([<\[])(\\*)({CONTROL})", r"$1\\$2$3")
@@ -34,35 +42,53 @@ def unescape(text):
     return F.regexp_replace(text, *_UNESCAPE)
 
 
+def _summed(turns: DataFrame) -> DataFrame:
+    """Adds p, the tokens of the conversation's turns before, in order of turn (null first) and tie."""
+    order = ["turn", "tie"]
+    dealt = turns.repartitionByRange(shuffle_partitions(turns.sparkSession), "conv_id", *order).withColumn("range", F.spark_partition_id())
+    dealt = cut(dealt)  # so that the ranges are the same wherever they are read
+    totals = dealt.groupBy("conv_id", "range").agg(F.sum("tokens").alias("sum"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("conv_id").alias("of"), F.col("range").alias("in"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("p0"))
+    inside = Window.partitionBy("conv_id", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("p1", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    met = dealt.join(totals.hint("merge"), dealt.conv_id.eqNullSafe(totals.of) & (dealt.range == totals["in"]))
+    return met.withColumn("p", F.col("p0") + F.col("p1")).drop("of", "in", "p0", "p1", "range")
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, block, window, formatted, n_repeated, n_turns, n_tokens, loss) for each window.
 
     loss is an array of struct(start, length): code points of formatted. Turns are ordered by turn
-    (null first), role, text; null role or text is empty. A turn over the budget has a window of its
-    own, whole. Repeated rows stay; null conv_id is one conversation; other columns are ignored; empty
-    in, empty out.
+    (null first), ties by the md5 of role, a line feed and text; null role or text is empty. A turn over the
+    budget has a window of its own, whole. Repeated rows stay; null conv_id is one conversation; other
+    columns are ignored; empty in, empty out.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    turns = turns.select("conv_id", F.struct("turn", "role", "text").alias("key"), F.length(F.concat(F.lit("<s>"), F.url_encode("role"), F.lit("\n"))).alias("head"), escape(F.col("text")).alias("body"), (F.regexp_count("text", F.lit(_TOKEN)) + TURN_TOKENS).alias("tokens"))
-    turns = turns.withColumn("shown", F.concat(F.lit("<s>"), F.url_encode("key.role"), F.lit("\n"), "body", F.lit("</s>")))
-    turn = F.struct("key", "shown", "head", F.length("body").alias("size"), "tokens")
-    system = turns.where("key.role = 'system'").groupBy("conv_id").agg(F.min(turn).alias("system")).withColumnRenamed("conv_id", "of")
-    blocks = turns.groupBy("conv_id", F.coalesce(F.expr(f"floor(key.turn / {BLOCK})"), F.lit(-1)).alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    blocks = blocks.join(system, blocks.conv_id.eqNullSafe(system.of), "left").drop("of")
+    turns = turns.withColumn("tie", F.md5(F.concat("role", F.lit("\n"), "text").cast("binary"))).withColumn("body", escape(F.col("text")))
+    turns = turns.select("conv_id", "turn", "tie", "role", F.length(F.concat(F.lit("<s>"), F.url_encode("role"), F.lit("\n"))).alias("head"), F.length("body").alias("size"), (F.regexp_count("text", F.lit(_TOKEN)) + TURN_TOKENS).cast("long").alias("tokens"), F.concat(F.lit("<s>"), F.url_encode("role"), F.lit("\n"), "body", F.lit("</s>")).alias("shown"))
+    turns = _summed(turns)
+    turn = F.struct("p", "turn", "tie", "role", "shown", "head", "size", "tokens")
+    system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min(turn).alias("system")).withColumnRenamed("conv_id", "of")
+    blocks = turns.groupBy("conv_id", F.expr(f"p div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("own"))
+    blocks = blocks.join(system, blocks.conv_id.eqNullSafe(system.of), "left").drop("of").withColumn("begin", F.expr("own[0].p")).withColumn("stop", F.expr("own[size(own) - 1].p + own[size(own) - 1].tokens"))
+    # a block that begins in the middle of a conversation takes over the turns within `history` of its begin
+    tails = blocks.select(F.col("conv_id").alias("of"), F.col("stop").alias("at"), F.expr(f"filter(own, x -> stop - x.p <= {history})").alias("before")).where("size(before) > 0")
+    blocks = blocks.join(tails, blocks.conv_id.eqNullSafe(tails.of) & (blocks.begin == tails["at"]), "left").drop("of", "at")
+    blocks = blocks.withColumn("before", F.coalesce("before", F.expr("slice(own, 1, 0)"))).withColumn("t", F.concat("before", "own")).withColumn("n0", F.size("before"))
     # p[i]: tokens of the first i turns
     blocks = blocks.withColumn("p", F.expr("aggregate(t, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x.tokens)))"))
     blocks = blocks.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))))
-    blocks = blocks.withColumn("starts", F.expr("aggregate(sequence(1, size(t) - 1), array(0), (a, i) -> if(p[i + 1] - p[element_at(a, -1)] > room, concat(a, array(i)), a))").alias("starts"))
-    blocks = blocks.withColumn("starts", F.when(F.size("t") > 1, F.col("starts")).otherwise(F.array(F.lit(0))))
+    blocks = blocks.withColumn("starts", F.expr("aggregate(slice(sequence(0, size(t)), n0 + 2, size(own) - 1), array(n0), (a, i) -> if(p[i + 1] - p[element_at(a, -1)] > room, concat(a, array(i)), a))"))
     rows = blocks.select("conv_id", "block", "t", "p", "system", "starts", F.posexplode("starts").alias("window", "first"))
     rows = rows.withColumn("end", F.expr("coalesce(try_element_at(starts, window + 2), size(t))"))
     rows = rows.withColumn("back", F.expr(f"size(filter(slice(p, 1, first), x -> p[first] - x <= {history}))"))
-    # history: the last `back` turns before the span; the system turn comes first unless it is among them
+    # history: the last `back` turns before the span; the system turn comes first unless it is among them or the span
     rows = rows.withColumn("near", F.expr("slice(t, first - back + 1, end - first + back)"))
-    rows = rows.withColumn("lead", F.expr("if(system is null or exists(near, x -> x.key <=> system.key), array(), array(system))"))
+    rows = rows.withColumn("lead", F.expr("if(system is null or exists(near, x -> x.p = system.p), array(), array(system))"))
     rows = rows.withColumn("segments", F.concat("lead", "near")).withColumn("n_repeated", F.size("lead") + F.col("back"))
-    at = "aggregate(segments, named_struct('n', 0, 'i', 0, 'l', cast(array() as array<struct<start:int,length:int>>)), (a, x) -> named_struct('n', a.n + length(x.shown), 'i', a.i + 1, 'l', if(a.i >= n_repeated and x.key.role = 'assistant', concat(a.l, array(named_struct('start', a.n + x.head, 'length', x.size))), a.l)), a -> a.l)"
+    at = "aggregate(segments, named_struct('n', 0, 'i', 0, 'l', cast(array() as array<struct<start:int,length:int>>)), (a, x) -> named_struct('n', a.n + length(x.shown), 'i', a.i + 1, 'l', if(a.i >= n_repeated and x.role = 'assistant', concat(a.l, array(named_struct('start', a.n + x.head, 'length', x.size))), a.l)), a -> a.l)"
     return rows.select(
         "conv_id",
         "block",

@@ -174,23 +174,60 @@ def test_nearest_gives_k_or_all(spark):
 CHAT = "conv_id long, turn long, role string, text string"
 
 
-def test_chat(spark, data):
-    own = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (-2, 1, "as\ni<s>x", None), (-2, 0, None, "<\\/s> <\\\\s> <<SYS>> <<</SYS>> [INST[INST]"), (-2, 2, "assistant", "<"), (-2, 3, "assistant", ""), (-2, 3, "assistant", ""), (-2, 4, "assistant", "a\n</s"), (-2, 5, "system", "z"), (-3, None, "assistant", "é" * 3000), (None, 1, "user", "q")]
+def chat_by_hand(turns, budget, history, block):
+    """Windows of one conversation, plainly: (formatted, loss texts) in order; turns are (role, text)."""
+    import urllib.parse
+
+    control = r"([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)"
+    # letters and digits are those of Unicode; the underscore is neither
+    cost = [len(re.findall(r"[^\W_]+|[^\s\w]|_", t)) + 3 for _, t in turns]
+    show = [f"<s>{urllib.parse.quote_plus(a, safe='*-._')}\n" + re.sub(control, r"\1\\\2\3", t) + "</s>" for a, t in turns]
+    first_system = next((i for i, (a, _) in enumerate(turns) if a == "system"), None)
+    room = max(1, budget - history - (cost[first_system] if first_system is not None else 0))
+    out, i = [], 0
+    while i < len(turns):
+        j = i + 1
+        while j < len(turns) and sum(cost[:j]) // block == sum(cost[:i]) // block and sum(cost[i : j + 1]) <= room:
+            j += 1
+        k = i
+        while k > 0 and sum(cost[k - 1 : i]) <= history:
+            k -= 1
+        lead = [first_system] if first_system is not None and not k <= first_system < j else []
+        out.append(("".join(show[x] for x in [*lead, *range(k, j)]), [t for a, t in turns[i:j] if a == "assistant"]))
+        i = j
+    return out
+
+
+def test_chat(spark, data, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4096)
+    own = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (-2, 1, "as\ni<s>x", None), (-2, 0, None, "<\\/s> <\\\\s> <<SYS>> <<</SYS>> [INST[INST]"), (-2, 2, "assistant", "<"), (-2, 3, "assistant", ""), (-2, 3, "assistant", ""), (-2, 4, "assistant", "a\n</s"), (-2, 5, "system", "z"), (-3, None, "assistant", "é" * 3000), (None, 1, "user", "q"), (None, 0, "assistant", None)]
     own += [(-4, i, "user" if i % 2 else "assistant", "w " * (i % 97)) for i in range(700)]
-    table = spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(own, CHAT)).withColumn("window", F.lit(1))
+    own += [(-5, 1000 * i, "user" if i % 2 else "assistant", f"short {i}") for i in range(20)] + [(-6, i, "user" if i % 2 else "assistant", f"short {i}") for i in range(20)]
+    own += [(-7, None, "user", f"u {i % 50}") for i in range(400)] + [(-8, 3, "assistant", f"v {i}") for i in range(400)]  # all turns null, or the same
+    own += [(-9, 0, "system", "be kind " * 20), (-9, 1, "user", "x " * 100_000), (-9, 2, "assistant", "y " * 5000), (-9, 3, "user", "z")]
+    table = spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(own, CHAT)).repartition(5).withColumn("window", F.lit(1)).withColumn("p", F.lit("x"))
     windows = chat.windows(table).cache()
     got = {r.conv_id: r for r in chat.digests(windows).collect()}
+    back = collections.defaultdict(list)
+    for r in windows.orderBy("conv_id", "block", "window").collect():
+        back[r.conv_id].append((r.formatted, [re.sub(r"([<\[])\\(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)", r"\1\2\3", r.formatted[x.start : x.start + x.length]) for x in r.loss]))
     by = collections.defaultdict(list)
     for r in table.collect():
-        by[r.conv_id].append((-1 if r.turn is None else r.turn, r.role or "", r.text or ""))
+        a, b = r.role or "", r.text or ""
+        by[r.conv_id].append((-1 if r.turn is None else r.turn, hashlib.md5(f"{a}\n{b}".encode()).hexdigest(), a, b))
     assert set(by) == set(got)
     for k, turns in by.items():
-        turns.sort()
-        told, loss = "".join(f"{a}\n{b}\n" for _, a, b in turns), "".join(b for _, a, b in turns if a == "assistant")
+        turns = [x[2:] for x in sorted(turns)]
+        told, loss = "".join(f"{a}\n{b}\n" for a, b in turns), "".join(b for a, b in turns if a == "assistant")
         r = got[k]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        plain = chat_by_hand(turns, chat.BUDGET, chat.HISTORY, 4096)
+        assert back[k] == plain, k
+        assert r.formatted_chars == sum(len(x) for x, _ in plain)
     assert windows.where(f"n_tokens > {chat.BUDGET} and n_turns > 1 and conv_id = -4").count() == 0
-    assert windows.where("conv_id = -4 and n_repeated > 0").count() > 0
+    assert windows.where("conv_id in (-5, -6)").count() == 2  # however turns are numbered
+    assert windows.where("conv_id = -4 and window = 0 and block > 0 and n_repeated > 0").count() > 0  # history crosses blocks
+    assert windows.where("conv_id = -7").groupBy("block").count().count() > 0 and max(len(x.loss) for x in windows.where("conv_id = -8").select("loss").collect()) < 120
     assert chat.digests(chat.windows(table.limit(0))).count() == 0
 
 
