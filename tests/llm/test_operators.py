@@ -454,30 +454,76 @@ def test_elias_fano():
             assert all((b >= 0) == (a in have) and (b < 0 or values[b] == a) for a, b in zip(asked.tolist(), e.find(asked).tolist(), strict=True))
 
 
-def test_lm(docs):
-    rows = ngram.train_and_score(docs).collect()
+class PlainModel:
+    """Trigrams with interpolated absolute discounting, from the formulas, on dictionaries; rows are lists of words."""
+
+    def __init__(self, rows):
+        self.c = [collections.Counter() for _ in range(3)]  # by length of the context
+        for row in rows:
+            line = ["<s>", "<s>", *row, "</s>"]
+            for i in range(2, len(line)):
+                for k in range(3):
+                    self.c[k][tuple(line[i - k : i + 1])] += 1
+        self.total, self.fan = collections.Counter(), collections.Counter()
+        for k in range(3):
+            for g, n in self.c[k].items():
+                self.total[k, g[:-1]] += n
+                self.fan[k, g[:-1]] += 1
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+
+    def p(self, context, w):
+        out = (0.75 * self.v / self.n if self.n else 1) / (self.v + 1)
+        out += max(self.c[0][(w,)] - 0.75, 0) / max(self.n, 1)
+        for k, d in ((1, 0.95), (2, 0.95)):
+            own = (k, tuple(context[2 - k :]))
+            if self.total[own]:
+                out = max(self.c[k][(*own[1], w)] - d, 0) / self.total[own] + d * self.fan[own] / self.total[own] * out
+        return out
+
+    def score(self, row):
+        line = ["<s>", "<s>", *row, "</s>"]
+        return sum(math.log10(self.p(line[i - 2 : i], line[i])) for i in range(2, len(line)))
+
+
+def test_plain_model_is_a_distribution():
+    r = random.Random(2)
+    model = PlainModel([[r.choice("abcde") for _ in range(r.randint(0, 6))] for _ in range(40)])
+    words_ = [g[0] for g in model.c[0]] + ["unknown"]
+    for context in itertools.product(["<s>", "a", "c", "never"], repeat=2):
+        assert sum(model.p(context, w) for w in words_) == pytest.approx(1, abs=1e-12)
+
+
+def test_lm(docs, monkeypatch):
     table = docs.select("doc_id", "text").collect()
-    token = {r.doc_id: [low(w) for w in split(r.text)] + [None] for r in table}
+    token = {r.doc_id: [low(w) for w in split(r.text)] for r in table}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in token}
-    c, b = collections.Counter(), collections.Counter()
-    for r in table:
-        if not held[r.doc_id]:
+    plain = PlainModel([token[r.doc_id] for r in table if not held[r.doc_id]])
+    for size in (1 << 30, 60_000):  # one shard; several, with frequent words spread over them
+        monkeypatch.setattr(ngram, "SHARD_BYTES", size)
+        monkeypatch.setattr(ngram, "COUNT_TOKENS", size // 4)
+        rows = ngram.train_and_score(docs).collect()
+        better = []
+        for r in rows:
             t = token[r.doc_id]
-            c.update(t)
-            b.update(zip([None, *t[:-1]], t, strict=True))
-    n, v, succ = sum(c.values()), len(c), collections.Counter(u for u, _ in b)
-    better = []
-    for r in rows:
-        t, d = token[r.doc_id], ngram.DISCOUNT
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        p1 = {w: (c[w] - d) / n if c[w] else d * v / n for w in t}
-        want = sum(math.log10((max(b[u, w] - d, 0) / c[u] + d * succ[u] / c[u] * p1[w]) if c[u] else p1[w]) for u, w in zip([None, *t[:-1]], t, strict=True))
-        assert abs(r.score - want) <= 1e-3 * len(t)
-        if r.held_out:
-            better.append(r.score > r.base_score)
-    assert sum(better) > 0.9 * len(better)
-    assert len(rows) == len(table) and ngram.train_and_score(docs.limit(0)).count() == 0
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t) + 1, sum(plain.c[0][(w,)] > 0 for w in [*t, "</s>"]), plain.n)
+            assert r.base_score == pytest.approx(sum(math.log10((plain.c[0][(w,)] + 1) / (plain.n + plain.v + 1)) for w in [*t, "</s>"]), rel=1e-9)
+            assert abs(r.score - plain.score(t)) <= 5e-4 * len(t) + 1e-3
+            if r.held_out:
+                better.append(r.score - r.base_score)
+        assert sum(better) > 0 and sum(x > 0 for x in better) > 0.7 * len(better) and len(rows) == len(table)
+    assert ngram.train_and_score(docs.limit(0)).count() == 0
+
+
+def test_lm_scores_noise_below_text(spark, docs):
+    model = ngram.train(docs)
+    assert len(model["frequent"]) >= 1 and model["rows"] == docs.count()
+    r = random.Random(3)
+    noise = [(-i, " ".join("".join(r.choice("bcdfghjklm") for _ in range(7)) for _ in range(50)), None, None, 0) for i in range(1, 9)]
+    a = [x.score / x.n_tokens for x in ngram.score(spark.createDataFrame(noise, DOC), model).collect()]
+    b = [x.score / x.n_tokens for x in ngram.score(docs.where("length(text) > 200 and doc_id >= 0"), model).collect()]
+    assert max(a) < -4 < sorted(b)[len(b) // 20]
+    empty = ngram.train(docs.limit(0))
+    assert {(x.n_known, x.score) for x in ngram.score(docs, empty).collect()} == {(0, 0.0)}
 
 
 def components_of(links, nodes):
