@@ -37,7 +37,7 @@ from .spark_util import checkpoint_dir, crc_bucket, cut
 DISCOUNTS = D1, D2, D3 = 0.75, 0.95, 0.95
 #: Tokens that a task counts at once before it hands counts on; bytes of text for a shard; bytes scored at once.
 COUNT_TOKENS, SHARD_BYTES, SCORE_BYTES = 3_000_000, 16 << 20, 4 << 20
-#: The sample that tells frequent words: rows of lowest hash, and characters of each; and at most so many words.
+#: The sample that tells frequent words: about so many rows, so many characters of each; and at most so many words.
 SAMPLE_ROWS, SAMPLE_CHARS, MOST_HOT = 512, 4_000, 256
 #: Shards that a worker holds where the store isn't a file system that it can map.
 FETCHED = 8
@@ -260,11 +260,15 @@ def _build(uri: str, hot: np.ndarray):
 _BUILT_ARROW = pa.schema([(n, pa.int64() if k == "long" else pa.list_(pa.int64())) for n, k in (x.split() for x in _BUILT.split(", "))])
 
 
-def _frequent(docs: DataFrame, shards: int) -> np.ndarray:
-    """BOS and the words that hold half a shard's share or more of a sample, at most MOST_HOT; ascending."""
+def _frequent(docs: DataFrame, rows: int, shards: int) -> np.ndarray:
+    """BOS and the words that hold half a shard's share or more of a sample, at most MOST_HOT; ascending.
+
+    The sample is the rows with a hash below what SAMPLE_ROWS of them are expected to have, and twice as many at
+    most (rows may repeat an id); it decides where counts are kept, not what they are."""
     text = F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), text).where("text is not null").orderBy("h", "text").limit(SAMPLE_ROWS).collect()
-    h, _ = words.hashed(pa.array([r.text for r in rows], pa.string()))
+    below = min((1 << 63) - 1, (1 << 64) * SAMPLE_ROWS // max(1, rows) - (1 << 63))
+    sample = docs.where(F.xxhash64(F.col("doc_id").cast("long")) <= F.lit(below)).select(text).where("text is not null").limit(2 * SAMPLE_ROWS).collect()
+    h, _ = words.hashed(pa.array([r.text for r in sample], pa.string()))
     word, n = np.unique(h, return_counts=True)
     order = np.argsort(-n, kind="stable")[:MOST_HOT]
     order = order[n[order] * 2 * shards >= len(h)]
@@ -278,9 +282,9 @@ def train(docs: DataFrame) -> dict:
     The files stay in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-size // SHARD_BYTES))
-    hot = _frequent(texts, shards)
+    hot = _frequent(texts, rows, shards)
     uri = f"{checkpoint_dir(spark)}/ngram-{uuid.uuid4().hex}"
     store, folder = _store(uri)
     store.create_dir(folder)
