@@ -42,6 +42,15 @@ def microseconds(begin: Column, end: Column) -> Column:
     return F.unix_micros(end) - F.unix_micros(begin)
 
 
+def now() -> Column:
+    return F.current_timestamp()
+
+
+def elapsed(begin: Column, end: Column, message: Column, number: Column) -> Column:
+    """`message number : ms` for a log: what a timer's end reports."""
+    return F.format_string("%s %d : %.3f ms", message, number, microseconds(begin, end) / 1000.0)
+
+
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd_HHmmss")
 

@@ -5,6 +5,8 @@ Doubles throughout. Where the reproduced behaviour is mathematically odd, `*_exa
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 FLOAT_EPSILON = 1.1920928955078125e-07
 FLOAT_MAX = 3.402823466e36
 Vector = tuple[Column, ...]
+PI, DEG2RAD, RAD2DEG = math.pi, math.pi / 180.0, 180.0 / math.pi
+NAN, INFINITY = float("nan"), float("inf")
 
 
 def col(x) -> Column:
@@ -35,6 +39,11 @@ def from_array(a: Column, n: int = 3, start: int = 0) -> Vector:
     return tuple(F.get(a, F.lit(start + i)).cast("double") for i in range(n))
 
 
+def unit(axis: str | None = None, n: int = 4) -> Vector:
+    """The unit vector of an axis of xyzw; zeros for None, ones for "one"."""
+    return vec(*[float(axis == "one" or "xyzw"[i] == axis) for i in range(n)])
+
+
 def _pairwise(f):
     def op(a: Vector, b) -> Vector:
         b = b if isinstance(b, tuple) else (col(b),) * len(a)

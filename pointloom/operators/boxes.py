@@ -45,6 +45,22 @@ def corners(b: Box) -> list[v.Vector]:
     return [tuple(b[i + 3 * k] for i, k in enumerate(pick)) for pick in product((0, 1), repeat=3)]
 
 
+def with_min(b: Box, p: v.Vector) -> Box:
+    return (*p, *b[3:])
+
+
+def with_max(b: Box, p: v.Vector) -> Box:
+    return (*b[:3], *p)
+
+
+def with_corner(b: Box, k: int, p: v.Vector) -> Box:
+    """The box with its k-th corner, counted as in corners(), moved to p."""
+    out = list(b)
+    for i, side in enumerate(list(product((0, 1), repeat=3))[k]):
+        out[i + 3 * side] = p[i]
+    return tuple(out)
+
+
 def expand_to(b: Box, p: v.Vector) -> Box:
     return tuple(F.least(b[i], p[i]) for i in range(3)) + tuple(F.greatest(b[i + 3], p[i]) for i in range(3))
 
@@ -149,6 +165,27 @@ def boxes_with_boxes(boxes: DataFrame, key: str, size: float, exact: bool = True
     return pairs.where(test(columns("l_"), columns("r_"))).select("a", "b")
 
 
+def boxes_with_triangles(boxes: DataFrame, triangles: DataFrame, size: float, exact: bool = False) -> DataFrame:
+    """(box, triangle) for each box (box, minx .. maxz) and triangle (triangle, x0, y0, z0 .. z2) that overlap.
+
+    Both are dealt to the grid cells that their bounds cover; a pair is tested once, in the cell where the
+    bounds' intersection begins. The test as reproduced also takes triangles that lie below the box in an axis
+    but pass the other tests; those are found only as far as the bounds meet."""
+    t = triangles
+    for a in "xyz":
+        t = t.withColumn("l" + a, F.least(*[f"{a}{k}" for k in range(3)])).withColumn("h" + a, F.greatest(*[f"{a}{k}" for k in range(3)]))
+    b = boxes
+    for i, a in enumerate("xyz"):
+        b = b.withColumn("c" + a, F.explode(_cells(F.col(NAMES[i]), F.col(NAMES[i + 3]), size)))
+        t = t.withColumn("c" + a, F.explode(_cells(F.col("l" + a), F.col("h" + a), size)))
+    pairs = b.join(t, ["cx", "cy", "cz"])
+    for i, a in enumerate("xyz"):
+        low = F.greatest(NAMES[i], "l" + a)
+        pairs = pairs.where((low <= F.least(NAMES[i + 3], "h" + a)) & (F.col("c" + a) == F.floor(low / size)))
+    corner = lambda k: tuple(F.col(f"{a}{k}") for a in "xyz")
+    return pairs.where(intersects_triangle(columns(), corner(0), corner(1), corner(2), exact)).select("box", "triangle")
+
+
 def wireframe(b: Box) -> Column:
     """The 12 edges of a box as 24 points, in an array."""
     c = corners(b)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: base -> derived types (fixed values).
 TYPES = {
-    "FeatherObject": ["Entity", "ComponentBase", "SystemBase"],
+    "Object": ["Entity", "ComponentBase", "SystemBase"],
     "ComponentBase": ["CameraBase", "CameraManipulatorBase", "Renderable", "Shader", "Transform", "GUIComponentBase"],
     "CameraBase": ["PerspectiveCamera", "OrthogonalCamera"],
     "CameraManipulatorBase": ["CameraManipulatorOrbit", "CameraManipulatorTrackball"],
@@ -25,13 +25,16 @@ def register(edges: DataFrame, base: str, derived: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (base, derived) pairs, transitively; a type isn't its own subclass. Edges must have no cycle."""
-    edges.createOrReplaceTempView("_pointloom_edges")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE c(base, derived) AS (
-            SELECT base, derived FROM _pointloom_edges
-            UNION ALL SELECT c.base, e.derived FROM c JOIN _pointloom_edges e ON e.base = c.derived)
-        SELECT DISTINCT base, derived FROM c""")
+    """All (base, derived) pairs, transitively; a type isn't its own subclass, also where edges have a cycle.
+
+    A join for each level of the hierarchy, until one finds nothing new."""
+    steps = edges.select(F.col("base").alias("derived"), F.col("derived").alias("next"))
+    found = new = edges.select("base", "derived").distinct()
+    while True:
+        new = new.join(steps, "derived").select("base", F.col("next").alias("derived")).distinct().join(found, ["base", "derived"], "left_anti")
+        if new.isEmpty():
+            return found.where("base <> derived")
+        found = found.union(new)
 
 
 def create(instances: DataFrame, type_: str, name: str) -> DataFrame:
@@ -43,7 +46,7 @@ def create(instances: DataFrame, type_: str, name: str) -> DataFrame:
 def of_type(instances: DataFrame, edges: DataFrame, base: str) -> DataFrame:
     """Instances of a type and of its subclasses."""
     types = closure(edges).where(F.col("base") == base).select(F.col("derived").alias("type")).union(edges.sparkSession.createDataFrame([(base,)], "type string"))
-    return instances.join(types, "type", "left_semi").distinct()
+    return instances.join(types, "type", "left_semi").select(*instances.columns)
 
 
 def first_of_type(instances: DataFrame, edges: DataFrame, base: str) -> DataFrame:
@@ -66,3 +69,9 @@ def subscribe(subscriptions: DataFrame, event_type: str, receiver: int) -> DataF
 def unsubscribe(subscriptions: DataFrame, event_type: str, receiver: int) -> DataFrame:
     gone = subscriptions.sparkSession.createDataFrame([(event_type, receiver)], "event_type string, receiver_id long")
     return subscriptions.join(gone, ["event_type", "receiver_id"], "left_anti")
+
+
+def ordered_map(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(group, entries): each group's entries in order of key, one a key, that of the largest value."""
+    one = rows.groupBy(group, F.col(key).alias("key")).agg(F.max(value).alias("value"))
+    return one.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("entries"))

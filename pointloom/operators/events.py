@@ -70,7 +70,7 @@ def folded(events: DataFrame, step: str, initial: str, fields: list[str], order=
     return rows.select(SESSION, F.expr(f"aggregate(rows, {initial}, (acc, x) -> {step}, acc -> {finish})").alias("state"))
 
 
-def orbit(events: DataFrame, sensitivity: float = 0.5) -> DataFrame:
+def orbit(events: DataFrame, sensitivity: float = 0.2) -> DataFrame:
     """Azimuth and elevation after the deltas dx, dy: azimuth wraps once into [0, 360), elevation stops at 89.9."""
     a, e = f"(acc.azimuth - x.dx * {sensitivity}D)", f"(acc.elevation + x.dy * {sensitivity}D)"
     step = f"named_struct('azimuth', case when {a} < 0 then {a} + 360D when {a} >= 360 then {a} - 360D else {a} end, 'elevation', case when {e} <= -90 then -89.9D when {e} >= 90 then 89.9D else {e} end)"
@@ -78,11 +78,11 @@ def orbit(events: DataFrame, sensitivity: float = 0.5) -> DataFrame:
 
 
 def zoom(events: DataFrame) -> DataFrame:
-    """Radius and field of view after wheel steps dy: without shift the radius times 0.9 or 1.1, with it the
+    """Radius, 5 at first, and field of view, 45, after wheel steps dy: without shift the radius times 0.9 or 1.1, with it the
     field of view by a degree within [1, 90]."""
     radius = "if(x.shift, acc.radius, case when x.dy > 0 then acc.radius * 0.9D when x.dy < 0 then acc.radius * 1.1D else acc.radius end)"
     fov = "if(x.shift, least(greatest(acc.fov - signum(x.dy), 1D), 90D), acc.fov)"
-    return folded(events, f"named_struct('radius', {radius}, 'fov', {fov})", "named_struct('radius', 1D, 'fov', 45D)", ["dy", "shift"])
+    return folded(events, f"named_struct('radius', {radius}, 'fov', {fov})", "named_struct('radius', 5D, 'fov', 45D)", ["dy", "shift"])
 
 
 def button_flags(events: DataFrame, order=ORDER) -> DataFrame:
@@ -96,6 +96,22 @@ def button_flags(events: DataFrame, order=ORDER) -> DataFrame:
     return events
 
 
+def history(events: DataFrame, column: str, order=ORDER) -> DataFrame:
+    """Each row's place in its session, and the column's value before and after: a history to step through."""
+    over = _over(order)
+    return events.withColumns({"at": F.row_number().over(over) - 1, "previous": F.lag(column).over(over), "next": F.lead(column).over(over)})
+
+
+def dragged(events: DataFrame, order=ORDER) -> DataFrame:
+    """Steps dx, dy from the last position that a move or a press (action 1) left; the position is reset by a press
+    and 0 at first. Rows: kind (`move` or `press`), x, y."""
+    over = _over(order)
+    for c in "xy":
+        before = F.coalesce(F.lag(c).over(over), F.lit(0.0))
+        events = events.withColumn("d" + c, F.when(F.col("kind") == "move", F.col(c) - before).otherwise(F.lit(0.0)))
+    return events
+
+
 Triple = tuple[float, float, float]
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, vector as v
+from ..functions import matrix as m
+from ..functions import text
+from ..functions import vector as v
 
 
 def zipped(points: DataFrame, normals: DataFrame | None = None, colours: DataFrame | None = None) -> DataFrame:
@@ -63,6 +65,21 @@ def shaded(position: v.Vector, normal: v.Vector, offset: v.Vector, size: Column,
     return v.add(v.mul(position, size), offset), F.greatest(v.dot(v.normalize(normal), v.normalize(light)), F.lit(0.2))
 
 
+def vertex_stage(model: list, view: list, projection: list, position: v.Vector, normal: v.Vector) -> tuple[v.Vector, v.Vector, v.Vector]:
+    """World position, the normal by the inverse transpose of the model's linear part, and the clip position.
+
+    Matrices take column vectors, with the translation in column 3."""
+    point = (*position, F.lit(1.0))
+    world = m.apply(model, point)
+    linear = [row[:3] for row in model[:3]]
+    return world[:3], m.apply(m.transpose(m.inverse(linear)), normal), m.apply(m.multiply(projection, view), world)
+
+
+def instance_colour(colour: v.Vector) -> Column:
+    """r, g, b and an alpha of 1."""
+    return F.struct(*[c.alias(n) for c, n in zip((*colour, F.lit(1.0)), "rgba", strict=True)])
+
+
 def face_corners(faces: DataFrame, points: DataFrame) -> DataFrame:
     """(idx, corner, x, y, z) of each face (idx, i0, i1, i2): one equi-join; unknown vertices give nulls."""
     long = faces.select(F.col("idx").alias("face"), F.posexplode(F.array("i0", "i1", "i2")).alias("corner", "at"))
@@ -78,3 +95,68 @@ def by_shader(renderables: DataFrame) -> DataFrame:
 def set_at(df: DataFrame, column: str, idx: int, value: Column) -> DataFrame:
     """One row's value overwritten."""
     return df.withColumn(column, F.when(F.col("idx") == idx, value).otherwise(F.col(column)))
+
+
+def append(rows: DataFrame, more: DataFrame, idx: str = "idx") -> DataFrame:
+    """rows and after them `more`, whose idx (from 0) goes on after the last of rows; columns that one side lacks
+    are null. For points, records, normals, colours, texture coordinates, indices or any attribute."""
+    last = rows.agg((F.coalesce(F.max(idx), F.lit(-1)) + 1).alias("_last"))  # one row
+    moved = more.crossJoin(F.broadcast(last)).withColumn(idx, F.col(idx) + F.col("_last")).drop("_last")
+    return rows.unionByName(moved, allowMissingColumns=True)
+
+
+def flat(rows: DataFrame, names: str = "x y z") -> DataFrame:
+    """(idx, value): a row for each component, in order, as flat buffers have them."""
+    parts = names.split()
+    return rows.select("idx", F.posexplode(F.array(*parts)).alias("k", "value")).select((F.col("idx") * len(parts) + F.col("k")).alias("idx"), "value")
+
+
+class Mesh:
+    """A mesh with its instances, built step by step; each buffer is a DataFrame with an idx, or None.
+
+    add() appends rows to a buffer, put() replaces it, at() overwrites one row; nothing is computed before
+    vertices() or instances() is used."""
+
+    BUFFERS = ("indices", "vertices", "normals", "colors", "uvs", "instance_colors", "instance_normals", "instance_transforms")
+
+    def __init__(self, **buffers: DataFrame):
+        self.buffers = {k: None for k in self.BUFFERS}
+        for k, df in buffers.items():
+            self.put(k, df)
+
+    def put(self, buffer: str, rows: DataFrame | None) -> Mesh:
+        if buffer not in self.buffers:
+            raise KeyError(buffer)
+        self.buffers[buffer] = rows
+        return self
+
+    def add(self, buffer: str, rows: DataFrame) -> Mesh:
+        have = self.buffers[buffer]
+        return self.put(buffer, rows if have is None else append(have, rows))
+
+    def at(self, buffer: str, idx: int, **values: Column) -> Mesh:
+        rows = self.buffers[buffer]
+        for column, value in values.items():
+            rows = set_at(rows, column, idx, value)
+        return self.put(buffer, rows)
+
+    def size(self, buffer: str) -> int:
+        rows = self.buffers[buffer]
+        return 0 if rows is None else rows.count()
+
+    def empty(self, buffer: str) -> bool:
+        rows = self.buffers[buffer]
+        return rows is None or rows.isEmpty()
+
+    def _joined(self, first: str, others: tuple[str, ...]) -> DataFrame:
+        out = self.buffers[first]
+        for k in others:
+            if self.buffers[k] is not None:
+                out = out.join(self.buffers[k], "idx", "left")
+        return out
+
+    def vertices(self) -> DataFrame:
+        return self._joined("vertices", ("normals", "colors", "uvs"))
+
+    def instances(self) -> DataFrame:
+        return self._joined("instance_transforms", ("instance_colors", "instance_normals"))

@@ -34,11 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import files, more  # noqa: F401  they register their own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: _SQL[k] for k in queries() if k in _SQL}
 
 
 # --- shared shapes, in both languages
@@ -145,9 +147,19 @@ def e10_covariance(spark, sf_dir):
     return moments.covariance(xyz(spark, sf_dir), "label").select("label", *[r(F.col(p)).alias(p) for p in moments.PAIRS])
 
 
-@query()
+_Q = "((xx + yy + zz) / 3)"
+_P2 = f"sqrt((power(xx - {_Q}, 2) + power(yy - {_Q}, 2) + power(zz - {_Q}, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)"
+
+
+@query(
+    f"WITH m AS (SELECT label, {', '.join(f'covar_pop({p[0]}, {p[1]}) AS {p}' for p in moments.PAIRS)} FROM {XYZ} GROUP BY label), k AS (SELECT *, {_Q} AS q, {_P2} AS p FROM m), "
+    "s AS (SELECT *, (xx - q) / p AS a, xy / p AS b, xz / p AS c, (yy - q) / p AS d, yz / p AS e, (zz - q) / p AS f FROM k), "
+    "t AS (SELECT *, acos(least(greatest((a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) / 2, -1), 1)) / 3 AS phi FROM s) "
+    f"SELECT label, {', '.join(f'{R(f'q + 2 * p * cos(phi + 2 * pi() * {k} / 3)')} AS l{i}' for i, k in enumerate((0, 2, 1)))} FROM t"
+)
 def e10_principal_axes(spark, sf_dir):
-    return moments.principal_axes(moments.covariance(xyz(spark, sf_dir), "label")).select("label", F.transform("values", r).alias("values"))
+    """Against the closed form for symmetric matrices of 3 rows."""
+    return moments.principal_axes(moments.covariance(xyz(spark, sf_dir), "label")).select("label", *[r(F.get("values", F.lit(i))).alias(f"l{i}") for i in range(3)])
 
 
 # --- scalars
@@ -186,14 +198,17 @@ def i23_vec4(spark, sf_dir):
     return points(spark, sf_dir).select("idx", *named({"dot": v.dot(a, b), "mag": v.magnitude(a)} | spread("n", v.normalize4(a)) | spread("s", v.add(a, b))))
 
 
-_DEN = "((e3-e0)*e9 + (e4-e1)*e10 + (e5-e2)*e11)"
-_T = f"(((e6-e0)*e9 + (e7-e1)*e10 + (e8-e2)*e11) / {_DEN})"
+_N = [f"(CASE WHEN idx % 4 = 0 THEN 0 ELSE e{i} END)" for i in (9, 10, 11)]  # every fourth line lies in its plane's direction
+_DEN = f"((e3-e0)*{_N[0]} + (e4-e1)*{_N[1]} + (e5-e2)*{_N[2]})"
+_T = f"(((e6-e0)*{_N[0]} + (e7-e1)*{_N[1]} + (e8-e2)*{_N[2]}) / nullif({_DEN}, 0))"
 
 
-@query(f"SELECT idx, {', '.join(f'round(e{i} + {_T} * (e{i + 3} - e{i}), 3) + 0.0 AS {a}' for i, a in enumerate('xyz'))} FROM {P} WHERE abs({_DEN}) > 0.001")
+@query(f"SELECT idx, {_DEN} = 0 AS parallel, {', '.join(f'CASE WHEN abs({_DEN}) > 0.001 THEN round(e{i} + {_T} * (e{i + 3} - e{i}), 3) + 0.0 END AS {a}' for i, a in enumerate('xyz'))} FROM {P}")
 def i26_line_plane(spark, sf_dir):
-    d = v.dot(v.sub(V(3), V(0)), V(9))
-    return points(spark, sf_dir).where(F.abs(d) > 0.001).select("idx", *[F.round(c, 3).alias(a) for a, c in zip("xyz", v.line_plane(V(0), V(3), V(6), V(9)), strict=True)])
+    """x, y, z are null where the lines are parallel (NaN), or so nearly that their digits mean nothing."""
+    normal = tuple(F.when(F.col("idx") % 4 == 0, F.lit(0.0)).otherwise(E(i)) for i in (9, 10, 11))
+    met, across = v.line_plane(V(0), V(3), V(6), normal), v.dot(v.sub(V(3), V(0)), normal)
+    return points(spark, sf_dir).select("idx", F.isnan(met[0]).alias("parallel"), *[F.when(F.abs(across) > 0.001, F.round(c, 3)).alias(a) for a, c in zip("xyz", met, strict=True)])
 
 
 @query(f"SELECT idx, {R('e0 + 5 * cos(radians(e4 * 90)) * sin(radians(e3 * 360))')} AS x, {R('e1 + 5 * sin(radians(e4 * 90))')} AS y, {R('e2 + 5 * cos(radians(e4 * 90)) * cos(radians(e3 * 360))')} AS z FROM {P}")
@@ -226,21 +241,35 @@ def i34_quaternions(spark, sf_dir):
     return points(spark, sf_dir).select("idx", *named(spread("r", q.rotate(V(0), q.about(E(6), V(3)))) | spread("p", q.product(V(0, 4), V(4, 4)), "wxyz")))
 
 
-@query()
+_COS = f"({_sql_dot(0, 3)} / sqrt({_sql_dot(0, 0)}) / sqrt({_sql_dot(3, 3)}))"
+
+
+@query(f"SELECT idx, {', '.join(f'{R(f'CASE WHEN {_COS} > 0.9999 THEN e{i} / sqrt({_sql_dot(0, 0)}) WHEN {_COS} < -0.9999 THEN -e{i} / sqrt({_sql_dot(0, 0)}) ELSE e{i + 3} / sqrt({_sql_dot(3, 3)}) END')} AS {a}' for i, a in enumerate('xyz'))} FROM {P}")
 def i36_quaternion_between(spark, sf_dir):
+    """A unit vector turned by the turn from it to another is that other."""
     turned = q.rotate(v.normalize(V(0)), q.between(V(0), V(3)))
     return points(spark, sf_dir).select("idx", *named(spread("", turned)))
 
 
-_D3 = "(e0 * (e4*e8 - e5*e7) - e1 * (e3*e8 - e5*e6) + e2 * (e3*e7 - e4*e6))"
+_M3 = [f"e{i}" if i < 6 else f"(CASE WHEN idx % 3 = 0 THEN 2 * e{i - 6} ELSE e{i} END)" for i in range(9)]  # every third matrix is singular
+_D3 = "({0} * ({4}*{8} - {5}*{7}) - {1} * ({3}*{8} - {5}*{6}) + {2} * ({3}*{7} - {4}*{6}))".format(*_M3)
+
 
+def _sql_inverse3(i: int, j: int) -> str:
+    a, b, c, d = ((j + 1) % 3, (i + 1) % 3, (j + 2) % 3, (i + 2) % 3)
+    minor = f"({_M3[3 * a + b]} * {_M3[3 * c + d]} - {_M3[3 * a + d]} * {_M3[3 * c + b]})"
+    return f"CASE WHEN abs({_D3}) < 1e-12 THEN {float(i == j)}::DOUBLE WHEN abs({_D3}) > 0.0001 THEN round({minor} / {_D3}, 3) + 0.0 END"
 
-@query(f"SELECT idx, {R(_D3)} AS det, {', '.join(f'{R(f'e{3 * i}*e{j} + e{3 * i + 1}*e{3 + j} + e{3 * i + 2}*e{6 + j}')} AS s{i}{j}' for i in range(3) for j in range(3))}, round((e4*e8 - e5*e7) / {_D3}, 3) + 0.0 AS i00, round((e3*e7 - e4*e6) / {_D3}, 3) + 0.0 AS i20 FROM {P} WHERE abs({_D3}) > 0.00001")
+
+@query(f"SELECT idx, {R(_D3)} AS det, {', '.join(f'{R(f'{_M3[3 * i]}*{_M3[j]} + {_M3[3 * i + 1]}*{_M3[3 + j]} + {_M3[3 * i + 2]}*{_M3[6 + j]}')} AS s{i}{j}, {R(_M3[3 * j + i])} AS t{i}{j}, {_sql_inverse3(i, j)} AS i{i}{j}' for i in range(3) for j in range(3))} FROM {P}")
 def i38_matrix3(spark, sf_dir):
-    a = [[E(3 * i + j) for j in range(3)] for i in range(3)]
-    rows = points(spark, sf_dir).where(F.abs(m.determinant(a)) > 0.00001)
-    inv = m.inverse(a)
-    return rows.select("idx", *named({"det": m.determinant(a)} | cell(m.multiply(a, a), "s")), F.round(inv[0][0], 3).alias("i00"), F.round(inv[2][0], 3).alias("i20"))
+    """Determinant, square, transpose and inverse; singular matrices have the identity for inverse, and it is
+    null where the determinant is too small for its digits to mean something."""
+    a = [[E(3 * i + j) if i < 2 else F.when(F.col("idx") % 3 == 0, 2 * E(j)).otherwise(E(6 + j)) for j in range(3)] for i in range(3)]
+    det, inverse = m.determinant(a), m.inverse(a)
+    some = (F.abs(det) < 1e-12) | (F.abs(det) > 0.0001)
+    inner = [F.when(some, F.round(inverse[i][j], 3)).alias(f"i{i}{j}") for i in range(3) for j in range(3)]
+    return points(spark, sf_dir).select("idx", *named({"det": det} | cell(m.multiply(a, a), "s") | cell(m.transpose(a), "t")), *inner)
 
 
 @query(f"SELECT idx, {', '.join(f'{R(f'e0*{s} + e{i + 3}')} AS p{a}, {R(f'e{i} * 1.5')} AS t{a}' for i, (a, s) in enumerate(zip('xyz', ('1.5', '0', '0'), strict=True)) if i == 0)}, {R('e1 * 1.5 + e4')} AS py, {R('e2 * 1.5 + e5')} AS pz, 3.375 AS det FROM {P}")
@@ -250,11 +279,14 @@ def i42_instance_transform(spark, sf_dir):
     return points(spark, sf_dir).select("idx", *named({"px": p[0], "tx": t[0], "py": p[1], "pz": p[2]}), r(m.determinant(a)).cast("decimal(4,3)").alias("det"))
 
 
-@query()
+@query(
+    f"SELECT idx, {R('1 / (1.5 + e6)')} AS i00, {', '.join(f'{R('0::DOUBLE')} AS i0{j}' for j in (1, 2, 3))}, {', '.join(f'{float(i == j)}::DOUBLE AS i{i}{j}' for i in (1, 2, 3) for j in range(4))}, "
+    f"{', '.join(f'{R(f'-e{3 + j} / ((1.5 + e6) * (1 + e6))')} AS x3{j}' for j in range(3))}, {R('1 / (1 + e6)')} AS x33 FROM {P}"
+)
 def i41_matrix4_inverse(spark, sf_dir):
+    """The inverse as reproduced, and the last row of the exact one."""
     a = m.add(m.instance(V(3), 1.5), m.scale(m.identity(4), E(6)))
-    exact = m.multiply(a, m.inverse(a))
-    return points(spark, sf_dir).select("idx", *named(cell(exact, "i")))
+    return points(spark, sf_dir).select("idx", *named(cell(m.inverse4(a), "i") | {f"x3{j}": c for j, c in enumerate(m.inverse(a)[3])}))
 
 
 @query("SELECT p_partkey, list_filter(string_split_regex(p_type, '[ _]'), lambda x: x <> '') AS parts, len(string_split(p_name, ' ')) AS n, CASE WHEN p_name = '' THEN NULL ELSE 7 END AS k, CAST(nullif(regexp_extract(p_brand, '(\\d+)', 1), '') AS BIGINT) AS brand FROM part")
@@ -300,21 +332,21 @@ def d6_boxes_with_boxes(spark, sf_dir):
     return boxes.boxes_with_boxes(b, "idx", 0.1)
 
 
-def _sql_triangle() -> str:
-    """The reproduced test of the box |x| <= 0.15 and the triangle e0..e8, in SQL."""
-    t = [[f"e{3 * k + i}" for i in range(3)] for k in range(3)]
+def _sql_triangle(mid=("0", "0", "0"), half=("0.15", "0.15", "0.15")) -> str:
+    """The reproduced test of a box, by default |x| <= 0.15, and the triangle e0..e8, in SQL."""
+    t = [[f"(e{3 * k + i} - {mid[i]})" for i in range(3)] for k in range(3)]
     edges = [[f"({t[(k + 1) % 3][i]} - {t[k][i]})" for i in range(3)] for k in range(3)]
     tests = []
     for k in range(3):
         a, b = (k + 1) % 3, (k + 2) % 3
         for e in edges:
             p = [f"({x[b]} * {e[a]} - {x[a]} * {e[b]})" for x in t]
-            tests.append(f"greatest(-greatest({', '.join(p)}), least({', '.join(p)})) > 0.15 * (abs({e[a]}) + abs({e[b]})) + 1.1920928955078125e-07")
+            tests.append(f"greatest(-greatest({', '.join(p)}), least({', '.join(p)})) > {half[b]} * abs({e[a]}) + {half[a]} * abs({e[b]}) + 1.1920928955078125e-07")
     for k in range(3):
         c = ", ".join(x[k] for x in t)
-        tests.append(f"(least({c}) > 0.15 AND (greatest({c}) + 0.15 > 1.1920928955078125e-07))")
+        tests.append(f"(least({c}) > {half[k]} AND (greatest({c}) + {half[k]} > 1.1920928955078125e-07 OR least({c}) - {half[k]} > 1.1920928955078125e-07))")
     n = [f"({edges[0][(i + 1) % 3]} * {edges[1][(i + 2) % 3]} - {edges[0][(i + 2) % 3]} * {edges[1][(i + 1) % 3]})" for i in range(3)]
-    tests.append("abs(" + " + ".join(f"{n[i]} * {t[0][i]}" for i in range(3)) + ") > 0.15 * (" + " + ".join(f"abs({x})" for x in n) + ") + 1.1920928955078125e-07")
+    tests.append("abs(" + " + ".join(f"{n[i]} * {t[0][i]}" for i in range(3)) + ") > " + " + ".join(f"{h} * abs({x})" for h, x in zip(half, n, strict=True)) + " + 1.1920928955078125e-07")
     return "NOT (" + " OR ".join(tests) + ")"
 
 
@@ -420,9 +452,9 @@ def f3_count_windows(spark, sf_dir):
     return events.count_windows(stream(spark, sf_dir), "value").select("session", "window", r(F.col("mean")).alias("mean"))
 
 
-@query(f'WITH m AS {_F3}, g AS (SELECT session, "window", list(mean) OVER (PARTITION BY session ORDER BY "window" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS got FROM m) SELECT session, "window", {R("list_sum(got) + 60 * (5 - len(got))")} AS total FROM g')
+@query(f'WITH m AS {_F3}, g AS (SELECT session, "window", list(mean) OVER (PARTITION BY session ORDER BY "window" ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS got FROM m) SELECT session, "window", {R("list_sum(got) + 60 * (50 - len(got))")} AS total FROM g')
 def f4_ring(spark, sf_dir):
-    means = events.recent(events.count_windows(stream(spark, sf_dir), "value"), 5)
+    means = events.recent(events.count_windows(stream(spark, sf_dir), "value"))
     return means.select("session", "window", r(F.expr("aggregate(ring, 0D, (a, x) -> a + x)")).alias("total"))
 
 
@@ -453,16 +485,32 @@ def c9_press_or_release(spark, sf_dir):
     return events.pressed(e).select("event_id", "event_type")
 
 
-@query()
+_TURN = "(azimuth - 0.2 * e.value)"
+_RISE = "(elevation + 0.2 * (e.value - 50))"
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT session, value, row_number() OVER {W} AS n FROM {S}), f AS (SELECT DISTINCT session, 0::BIGINT AS n, 0::DOUBLE AS azimuth, 0::DOUBLE AS elevation FROM e "
+    f"UNION ALL SELECT e.session, e.n, CASE WHEN {_TURN} < 0 THEN {_TURN} + 360 WHEN {_TURN} >= 360 THEN {_TURN} - 360 ELSE {_TURN} END, CASE WHEN {_RISE} <= -90 THEN -89.9 WHEN {_RISE} >= 90 THEN 89.9 ELSE {_RISE} END FROM f JOIN e ON e.session = f.session AND e.n = f.n + 1) "
+    f"SELECT session, round(arg_max(azimuth, n), 4) + 0.0 AS azimuth, round(arg_max(elevation, n), 4) + 0.0 AS elevation FROM f GROUP BY session"
+)
 def f8_orbit(spark, sf_dir):
     e = events.orbit(stream(spark, sf_dir).withColumn("dx", F.col("value")).withColumn("dy", F.col("value") - 50))
-    return e.select("session", r(F.col("state.azimuth")).alias("azimuth"), r(F.col("state.elevation")).alias("elevation"))
+    return e.select("session", F.round("state.azimuth", 4).alias("azimuth"), F.round("state.elevation", 4).alias("elevation"))
 
 
-@query(f"SELECT session, {R('power(0.9, count(*) FILTER (value > 50)) * power(1.1, count(*) FILTER (value < 50))')} AS radius FROM {S} WHERE event_type = 'click' GROUP BY session")
+_FOV = "(CASE WHEN e.shift THEN least(greatest(fov - sign(e.dy), 1), 90) ELSE fov END)"
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT session, value - 50 AS dy, event_id % 3 = 0 AS shift, row_number() OVER {W} AS n FROM {S}), f AS (SELECT DISTINCT session, 0::BIGINT AS n, 5::DOUBLE AS radius, 45::DOUBLE AS fov FROM e "
+    f"UNION ALL SELECT e.session, e.n, radius * (CASE WHEN e.shift OR e.dy = 0 THEN 1 WHEN e.dy > 0 THEN 0.9 ELSE 1.1 END), {_FOV} FROM f JOIN e ON e.session = f.session AND e.n = f.n + 1) "
+    f"SELECT session, round(log10(arg_max(radius, n)), 5) + 0.0 AS radius_log10, {R('arg_max(fov, n)')} AS fov FROM f GROUP BY session"
+)
 def f9_zoom(spark, sf_dir):
-    e = stream(spark, sf_dir).where("event_type = 'click'").withColumn("dy", F.col("value") - 50).withColumn("shift", F.lit(False))
-    return events.zoom(e).select("session", r(F.col("state.radius")).alias("radius"))
+    """Every event a wheel step, every third with the shift key; the radius as its logarithm, as many steps change it by orders."""
+    e = stream(spark, sf_dir).withColumn("dy", F.col("value") - 50).withColumn("shift", F.col("event_id") % 3 == 0)
+    return events.zoom(e).select("session", F.round(F.log10("state.radius"), 5).alias("radius_log10"), r(F.col("state.fov")).alias("fov"))
 
 
 @query("SELECT p_brand AS key, arg_max(p_name, p_partkey) AS handler FROM part GROUP BY p_brand")
@@ -529,15 +577,18 @@ def j2_sphere_indices(spark, sf_dir):
     return generators.sphere_indices(spark, 8, 4)
 
 
-@query("SELECT face, CAST(count(*) AS BIGINT) AS n, min(x) AS x, max(z) AS z FROM (SELECT i // 6 AS face, -0.5::DOUBLE AS x, 0.5::DOUBLE AS z FROM range(36) t(i)) WHERE face NOT IN (0, 3) GROUP BY face UNION ALL SELECT 0, 6, -0.5, -0.5 UNION ALL SELECT 3, 6, 0.5, 0.5")
+_CORNERS = "(VALUES (0, -1, -1, -1), (1, 1, -1, -1), (2, 1, 1, -1), (3, -1, 1, -1), (4, -1, -1, 1), (5, 1, -1, 1), (6, 1, 1, 1), (7, -1, 1, 1)) c(corner, x, y, z)"
+_FACES = ", ".join(f"({6 * f + k}, {corner}, {n[0]}, {n[1]}, {n[2]}, {k})" for f, (face, n) in enumerate(zip(generators.FACES, generators.FACE_NORMALS, strict=True)) for k, corner in enumerate(face))
+
+
+@query(f"SELECT idx, x * 0.5::DOUBLE AS x, y * 0.5::DOUBLE AS y, z * 0.5::DOUBLE AS z, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz FROM (VALUES {_FACES}) f(idx, corner, nx, ny, nz, k) JOIN {_CORNERS} USING (corner)")
 def j1_box(spark, sf_dir):
-    b = generators.box(spark)
-    return b.groupBy(F.expr("idx div 6").alias("face")).agg(F.count("*").alias("n"), F.min("x").alias("x"), F.max("z").alias("z"))
+    return generators.box(spark).select("idx", "x", "y", "z", "nx", "ny", "nz")
 
 
-@query("SELECT i AS idx, i % 40 AS x, i // 40 % 40 AS y, i // 1600 AS z FROM range(64000) t(i)")
+@query("SELECT i AS idx, i % 100 AS x, i // 100 % 100 AS y, i // 10000 AS z FROM range(1000000) t(i)")
 def j3_grid(spark, sf_dir):
-    return generators.grid(spark, 40).drop("scale")
+    return generators.grid(spark).drop("scale")
 
 
 @query(f"SELECT i AS idx, {R('i * 0.1::DOUBLE')} AS x, {R('2 * sin(3 * i * 0.1::DOUBLE)')} AS y FROM range(100) t(i)")
@@ -565,7 +616,7 @@ def a7_obj_sink(spark, sf_dir):
     return formats.obj_lines(p, p.select("idx", (F.col("idx") + 1).alias("i0"), F.lit(1).cast("long").alias("i1"), F.lit(2).cast("long").alias("i2")))
 
 
-@query(f"SELECT unnest(['ply', 'format ascii 1.0', 'property float x' || chr(10) || 'property float y' || chr(10) || 'property float z', 'end_header']) AS value UNION ALL SELECT 'element vertex ' || count(*) FROM {XYZ} UNION ALL SELECT format('{{:g}}', x) || ' ' || format('{{:g}}', y) || ' ' || format('{{:g}}', z) FROM {XYZ}")
+@query(f"SELECT unnest(['ply', 'format ascii 1.0', 'property float x', 'property float y', 'property float z', 'end_header']) AS value UNION ALL SELECT 'element vertex ' || count(*) FROM {XYZ} UNION ALL SELECT format('{{:g}}', x) || ' ' || format('{{:g}}', y) || ' ' || format('{{:g}}', z) FROM {XYZ}")
 def a9_ply_sink(spark, sf_dir):
     return formats.ply_lines(xyz(spark, sf_dir))
 

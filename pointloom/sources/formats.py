@@ -1,14 +1,16 @@
 """Point and mesh files: readers and writers of XYZ, OFF, CustomMesh, OBJ, ascii PLY and binary ALP.
 
-Text files are read line by line with spark.read.text; a line's place comes from its file's row
-order (one task a file, as the formats' counted sections aren't splittable). A reader returns a
-dictionary of DataFrames, each with `path` and `idx`; a record that doesn't parse has nulls, and its
-line in `_corrupt_record`.
+A text file is read whole into one row (so up to 2 GB) and parsed by one task, as the formats' counted
+sections can't be split without reading what comes before; many files are read side by side. A reader
+returns a dictionary of DataFrames, each with `path` and `idx`; a record that doesn't parse has nulls,
+and its line in `_corrupt_record`.
 """
 
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -101,7 +103,7 @@ def _ply(text: str):
             t = line.split()
             if "list" in properties:
                 v = _numbers(t[1:], _count(t[0])) if t else None
-                yield ("face" if name == "face" else name), i, v, None if v else line
+                yield name, i, v, None if v else line
                 continue
             v = _numbers(t, len(properties))
             if not v:
@@ -111,7 +113,7 @@ def _ply(text: str):
             if name != "vertex":
                 yield name, i, v, None
                 continue
-            for section, names, divide in (("point", "x y z", 1), ("normal", "nx ny nz", 1), ("color", "red green blue", 255.0)):
+            for section, names, divide in (("point", "x y z", 1), ("normal", "nx ny nz", 1), ("uv", "u v", 1), ("color", "red green blue", 255.0)):
                 names = names.split()
                 if all(k in at for k in names):
                     own = [at[k] / divide for k in names]
@@ -158,7 +160,7 @@ def read_mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_ply(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """An edge element's rows are in "edges". `at` of a face has all its vertices."""
     rows = _parsed(spark, path, _ply)
-    return _tables(rows) | {"edges": _section(rows, "edge", "v1 v2", "long")}
+    return _tables(rows) | {"edges": _section(rows, "edge", "v1 v2", "long"), "uvs": _section(rows, "uv", "u v")}
 
 
 def _obj(text: str):
@@ -187,37 +189,113 @@ def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return _tables(rows) | {"uvs": _section(rows, "uv", "u v")}
 
 
-RECORD_BYTES = 36
 FIELDS = "x y z nx ny nz r g b".split()
+#: A record's fields and numpy types; the default is 36 bytes of floats.
+RECORD = tuple((n, "<f4") for n in FIELDS)
+HEADER_BYTES = 8
 
 
-def read_alp(spark: SparkSession, path: str) -> DataFrame:
-    """Records of 9 floats after a header of two unsigned 32-bit numbers; an incomplete rest is dropped."""
+def record_bytes(record=RECORD) -> int:
     import numpy as np
 
+    return np.dtype(list(record)).itemsize
+
+
+def _record_schema(record) -> str:
+    return ", ".join(f"`{n}` " + ("double" if "f" in kind else "long") for n, kind in record)
+
+
+def read_alp(spark: SparkSession, path: str, record=RECORD) -> DataFrame:
+    """Records after a header of two unsigned 32-bit numbers, their count and size; an incomplete rest is dropped, and
+    a file whose records have another size gives none. Integer fields are longs, others doubles."""
+    import numpy as np
+
+    kind = np.dtype(list(record))
+
     def run(frames):
         for f in frames:
             for p, raw in zip(f["path"], f["content"], strict=True):
-                count, size = struct.unpack_from("<II", raw) if len(raw) >= 8 else (0, RECORD_BYTES)
-                n = min(count, (len(raw) - 8) // RECORD_BYTES) if size == RECORD_BYTES else 0
-                values = np.frombuffer(raw, "<f4", n * 9, 8).reshape(n, 9).astype(float) if n > 0 else np.zeros((0, 9))
-                out = pd.DataFrame(values, columns=FIELDS)
-                out.insert(0, "idx", range(len(out)))
-                out.insert(0, "path", p)
-                yield out
+                count, size = struct.unpack_from("<II", raw) if len(raw) >= HEADER_BYTES else (0, 0)
+                n = min(count, (len(raw) - HEADER_BYTES) // kind.itemsize) if size == kind.itemsize else 0
+                values = np.frombuffer(raw, kind, n, HEADER_BYTES) if n > 0 else np.zeros(0, kind)
+                for at in range(0, len(values), 1 << 16):
+                    part = values[at : at + (1 << 16)]
+                    out = {"path": p, "idx": np.arange(at, at + len(part))} | {name: part[name].astype(float if "f" in k else np.int64) for name, k in record}
+                    yield pd.DataFrame(out)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, idx long, " + ", ".join(f"{n} double" for n in FIELDS))
+    return files.mapInPandas(run, "path string, idx long, " + _record_schema(record))
+
 
+def alp_parts(points: DataFrame, record=RECORD) -> DataFrame:
+    """(part, content): the file's bytes in pieces by range of idx, the header first; concatenated by part they are the file."""
+    import numpy as np
+
+    kind, names = np.dtype(list(record)), [n for n, _ in record]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        for k, f in enumerate(batches):
+            rows = np.zeros(len(f), kind)
+            for n in names:
+                rows[n] = f[n].to_numpy()
+            yield pd.DataFrame({"part": [(TaskContext.get().partitionId() << 32) + k], "content": [rows.tobytes()]})
 
-def alp_bytes(points: DataFrame) -> DataFrame:
-    """One row, one file's content: for interchange only, as it gathers the points; keep data in Parquet."""
+    body = points.select("idx", *names).repartitionByRange("idx").sortWithinPartitions("idx").mapInPandas(run, "part long, content binary")
+    pack = F.udf(lambda n: struct.pack("<II", n, kind.itemsize), "binary")  # of one row
+    return points.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("part"), pack("n").alias("content")).unionByName(body)
+
+
+def alp_bytes(points: DataFrame, record=RECORD) -> DataFrame:
+    """One row, a small file's whole content."""
 
     def run(frames):
-        rows = pd.concat(list(frames)).sort_values("idx")[FIELDS].to_numpy("<f4")
-        yield pd.DataFrame({"content": [struct.pack("<II", len(rows), RECORD_BYTES) + rows.tobytes()]})
+        rows = pd.concat(list(frames)).sort_values("part")
+        yield pd.DataFrame({"content": [b"".join(rows["content"])]})
+
+    return alp_parts(points, record).coalesce(1).mapInPandas(run, "content binary")
+
 
-    return points.select("idx", *FIELDS).coalesce(1).mapInPandas(run, "content binary")
+def byte_total(points: DataFrame, record=RECORD) -> DataFrame:
+    """The bytes that the file of these points has, as a long."""
+    return points.agg((F.count("*") * record_bytes(record) + HEADER_BYTES).cast("long").alias("bytes"))
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, path: str, chunks) -> int:
+    """The chunks of bytes one after the other as one file, in any store that Spark writes; the bytes written."""
+    p, store = _path(spark, path)
+    out, n = store.create(p, True), 0
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+            n += len(chunk)
+    finally:
+        out.close()
+    return n
+
+
+def write_alp(points: DataFrame, path: str, record=RECORD) -> int:
+    """One file, its parts fetched and written one at a time; the bytes written."""
+    parts = alp_parts(points, record).orderBy("part")
+    return write_bytes(points.sparkSession, path, (r.content for r in parts.toLocalIterator()))
+
+
+def read_bytes(spark: SparkSession, path: str, start: int = 0, n: int | None = None) -> DataFrame:
+    """(path, length, content): n bytes of each file from start on, to its end for None."""
+    files = spark.read.format("binaryFile").load(path)
+    size = F.lit(n) if n is not None else F.col("length").cast("int")
+    return files.select("path", "length", F.substr("content", F.lit(start + 1), size).alias("content"))
+
+
+def use_alpha(colors: DataFrame, *by: str) -> DataFrame:
+    """Whether any colour has an alpha."""
+    return colors.groupBy(*by).agg(F.bool_or(F.col("a").isNotNull()).alias("use_alpha"))
 
 
 def _lines(parts: list[tuple[int, DataFrame]], heads: list[tuple[int, object]], spark: SparkSession) -> DataFrame:
@@ -276,40 +354,53 @@ def obj_lines(points: DataFrame, faces: DataFrame, normals: DataFrame | None = N
     return _lines(parts, [], points.sparkSession)
 
 
-def ply_lines(points: DataFrame, faces: DataFrame | None = None, normals: DataFrame | None = None, colors: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """Header by the attributes present, vertices, edges, faces."""
+def ply_lines(points: DataFrame, faces: DataFrame | None = None, normals: DataFrame | None = None, colors: DataFrame | None = None, edges: DataFrame | None = None, uvs: DataFrame | None = None) -> DataFrame:
+    """Header by the attributes present, vertices, edges, faces. Colours with a column a are written with alpha; what
+    a vertex lacks is white, or 0."""
     spark, v = points.sparkSession, points
     values = [six_digits(F.col(c)) for c in "xyz"]
     properties = [f"property float {c}" for c in "xyz"]
+
+    def attribute(rows: DataFrame, names: list[str], written: list[str], missing: float, show, kind: str) -> None:
+        nonlocal v
+        v = v.join(rows.select("idx", *names), "idx", "left")
+        values.extend(show(F.coalesce(F.col(c), F.lit(missing))) for c in names)
+        properties.extend(f"property {kind} {c}" for c in written)
+
     if normals is not None:
-        v = v.join(normals.select("idx", "nx", "ny", "nz"), "idx", "left")
-        values += [six_digits(F.col(c)) for c in ("nx", "ny", "nz")]
-        properties += [f"property float n{c}" for c in "xyz"]
+        attribute(normals, ["nx", "ny", "nz"], ["nx", "ny", "nz"], 0.0, six_digits, "float")
     if colors is not None:
-        v = v.join(colors.select("idx", "r", "g", "b"), "idx", "left")
-        values += [_byte(F.coalesce(F.col(c), F.lit(1.0))) for c in "rgb"]
-        properties += [f"property uchar {c}" for c in ("red", "green", "blue")]
-    heads: list = [(0, "ply"), (1, "format ascii 1.0"), (2, _total(points, "element vertex ")), (3, "\n".join(properties))]
-    parts = [(9, v.select("idx", F.concat_ws(" ", *values).alias("value")))]
+        n = 4 if "a" in colors.columns else 3
+        attribute(colors, list("rgba")[:n], ["red", "green", "blue", "alpha"][:n], 1.0, _byte, "uchar")
+    if uvs is not None:
+        attribute(uvs, ["u", "v"], ["u", "v"], 0.0, six_digits, "float")
+    heads: list[str | DataFrame] = ["ply", "format ascii 1.0", _total(points, "element vertex "), *properties]
+    parts = [v.select("idx", F.concat_ws(" ", *values).alias("value"))]
     if edges is not None:
-        heads += [(4, _total(edges, "element edge ")), (5, "property int vertex1\nproperty int vertex2")]
-        parts.append((10, _joined(edges, "v1 v2", _whole)))
+        heads += [_total(edges, "element edge "), "property int vertex1", "property int vertex2"]
+        parts.append(_joined(edges, "v1 v2", _whole))
     if faces is not None:
-        heads += [(6, _total(faces, "element face ")), (7, "property list uchar int vertex_indices")]
-        parts.append((11, _joined(faces, "i0 i1 i2", _whole, head="3 ")))
-    heads.append((8, "end_header"))
-    return _lines(parts, heads, spark)
+        heads += [_total(faces, "element face "), "property list uchar int vertex_indices"]
+        parts.append(_joined(faces, "i0 i1 i2", _whole, head="3 "))
+    heads.append("end_header")
+    return _lines([(len(heads) + k, p) for k, p in enumerate(parts)], list(enumerate(heads)), spark)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file in the folder path: the formats are a single sequence of lines."""
+    """One text file in the folder path: the formats are a single sequence of lines. The sort goes on in parallel;
+    only the writer takes the sorted lines one after the other."""
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pointloom-files-")
+    return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """The Parquet table at path, made first if it isn't there."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+    p, store = _path(spark, f"{path}/_SUCCESS")
+    if not store.exists(p):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
