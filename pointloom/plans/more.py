@@ -62,7 +62,7 @@ def a30_mesh_builder(spark, sf_dir):
     return rows.select("idx", *[r(F.col(c)).alias(c) for c in rows.columns if c != "idx"], F.lit(mesh.size("vertices")).cast("long").alias("n"), F.lit(mesh.empty("uvs")).alias("no_uvs"))
 
 
-@query(f"SELECT idx, label % 3 AS label FROM {XYZ}")
+@query(f"SELECT idx, CAST(label % 3 AS BIGINT) AS label FROM {XYZ}")
 def l5_labeler(spark, sf_dir):
     """A labeler of batches in its slot."""
 

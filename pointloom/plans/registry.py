@@ -581,7 +581,7 @@ _CORNERS = "(VALUES (0, -1, -1, -1), (1, 1, -1, -1), (2, 1, 1, -1), (3, -1, 1, -
 _FACES = ", ".join(f"({6 * f + k}, {corner}, {n[0]}, {n[1]}, {n[2]}, {k})" for f, (face, n) in enumerate(zip(generators.FACES, generators.FACE_NORMALS, strict=True)) for k, corner in enumerate(face))
 
 
-@query(f"SELECT idx, x * 0.5::DOUBLE AS x, y * 0.5::DOUBLE AS y, z * 0.5::DOUBLE AS z, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz FROM (VALUES {_FACES}) f(idx, corner, nx, ny, nz, k) JOIN {_CORNERS} USING (corner)")
+@query(f"SELECT CAST(idx AS BIGINT) AS idx, x * 0.5::DOUBLE AS x, y * 0.5::DOUBLE AS y, z * 0.5::DOUBLE AS z, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz FROM (VALUES {_FACES}) f(idx, corner, nx, ny, nz, k) JOIN {_CORNERS} USING (corner)")
 def j1_box(spark, sf_dir):
     return generators.box(spark).select("idx", "x", "y", "z", "nx", "ny", "nz")
 
