@@ -59,8 +59,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """op2 alone; the others are tested against brute force, round trips or held-out rows."""
+    """op2 and op9; the others are tested against brute force, round trips or held-out rows."""
     return {
+        "op9_near_dedup": r"""
+            WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                 ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS x FROM t),
+            u AS (SELECT doc_id, unnest(x) AS g FROM s),
+            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * common >= 85 * (len(x.x) + len(y.x) - common)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+            m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+            SELECT doc_id, len(x) AS n_shingles, least AS component_id, doc_id = least AS kept FROM s JOIN m ON m.a = doc_id
+        """,
         "op2_exact_top_k": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                        FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT coalesce(isfinite(x), false))) = 0),

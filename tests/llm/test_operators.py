@@ -683,6 +683,21 @@ def test_many_languages(spark, monkeypatch):
     assert sorted(samples) == ["a", "b", "c"] and all(len(x) <= language.SAMPLE_BYTES for x in samples.values())
 
 
+@pytest.mark.parametrize("name", ["op2_exact_top_k", "op9_near_dedup"])
+def test_sql(spark, data, name):
+    import duckdb
+
+    from pointloom.llm import queries
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = queries.queries()[name](spark, data)
+    want = db.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) != []
+
+
 def test_pipeline(spark, data, tmp_path):
     import corpus_pipeline as p
 
