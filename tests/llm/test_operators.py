@@ -715,3 +715,31 @@ def test_pipeline(spark, data, tmp_path):
     assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter(times)
     assert packed.where("piece = 0").count() == mixed.count()
     assert sorted(map(tuple, p.run(spark, data).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path):
+    """Null, empty, very short and very long texts, repeated rows and ids, names that clash, and no rows at all."""
+    import corpus_pipeline as p
+
+    words_ = "the of and to in that was his with for as had you not be her is but at on".split()
+    r = random.Random(12)
+    more = [(None, " ".join(r.choice(words_) for _ in range(60)) + f" {i}", "en", None, 0) for i in range(3)] + [(7_000, " ".join(r.choice(words_) for _ in range(50)), "en", "a", 0) for _ in range(2)]
+    odd = docs.where("doc_id < 60").drop("id", "size").union(spark.createDataFrame(more, DOC))
+    odd = odd.withColumns({"place": F.lit("x"), "times": F.lit(1), "h1": F.lit(2), "gone_id": F.lit(None).cast("string"), "doc": F.lit("y")})
+    for name, rows in (("odd", odd), ("none", odd.limit(0))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        stages, now = [], spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(p.STAGES):
+            stage(spark, now, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/{k}")
+            now = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+            stages.append(now)
+        assert all(x.columns == odd.columns for x in stages[:3])
+        known, single, mixed = (x.select("doc_id", "text").collect() for x in stages[:3])
+        if name == "none":
+            assert not known and not single and not mixed and not stages[3].count()
+            continue
+        assert {-1, -2, -3}.isdisjoint(x.doc_id for x in known)
+        # of null ids and of a repeated one with different texts all stay; of equal rows one does
+        texts_ = collections.Counter((x.doc_id, x.text) for x in single)
+        assert sum(k[0] is None for k in texts_) == 3 and sum(k[0] == 7_000 for k in texts_) == 2 and max(texts_.values()) == 1
+        assert {(x.doc_id, x.text) for x in mixed} <= set(texts_) and stages[3].where("piece = 0").count() == len(mixed) > 0
