@@ -27,11 +27,11 @@ def register(edges: DataFrame, base: str, derived: str) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All (base, derived) pairs, transitively; a type isn't its own subclass, also where edges have a cycle.
 
-    A join for each level of the hierarchy, until one finds nothing new."""
+    A join for each level of the hierarchy, until one finds nothing new; levels are kept, as the next ones read them."""
     steps = edges.select(F.col("base").alias("derived"), F.col("derived").alias("next"))
-    found = new = edges.select("base", "derived").distinct()
+    found = new = edges.select("base", "derived").distinct().cache()
     while True:
-        new = new.join(steps, "derived").select("base", F.col("next").alias("derived")).distinct().join(found, ["base", "derived"], "left_anti")
+        new = new.join(steps, "derived").select("base", F.col("next").alias("derived")).distinct().join(found, ["base", "derived"], "left_anti").cache()
         if new.isEmpty():
             return found.where("base <> derived")
         found = found.union(new)
