@@ -28,19 +28,20 @@ def _attributes(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-def _sections(tables: dict[str, DataFrame], names: dict[str, str]) -> DataFrame:
-    """(section, idx, a, b, c, d) of the tables that a reader returns; what a section lacks is null."""
+def _sections(tables: dict[str, DataFrame], names: dict[str, str], places: int = 6) -> DataFrame:
+    """(section, idx, a, b, c, d) of the tables that a reader returns; what a section lacks is null. Texts of six
+    significant digits need more places, or what is rounded again may lie halfway."""
 
     def rows(section: str) -> DataFrame:
         columns = names[section].split()
-        own = [r(F.col(c).cast("double")) for c in columns] + [F.lit(None).cast("double")] * (4 - len(columns))
+        own = [F.round(F.col(c).cast("double"), places) for c in columns] + [F.lit(None).cast("double")] * (4 - len(columns))
         return tables[section].where("_corrupt_record is null").select(F.lit(section).alias("section"), "idx", *[c.alias(n) for c, n in zip(own, "abcd", strict=True)])
 
     return reduce(DataFrame.unionByName, map(rows, names))
 
 
-def _sql(section: str, *columns: str) -> str:
-    own = [f"round(CAST({c} AS DOUBLE), 6) + 0.0" for c in columns] + ["CAST(NULL AS DOUBLE)"] * (4 - len(columns))
+def _sql(section: str, *columns: str, places: int = 6) -> str:
+    own = [f"round(CAST({c} AS DOUBLE), {places}) + 0.0" for c in columns] + ["CAST(NULL AS DOUBLE)"] * (4 - len(columns))
     return f"SELECT '{section}' AS section, idx, " + ", ".join(f"{c} AS {n}" for c, n in zip(own, "abcd", strict=True)) + f" FROM {P}"
 
 
@@ -92,12 +93,12 @@ def _one_based(faces: DataFrame) -> DataFrame:
     return faces.select("idx", *[(F.col(f"i{k}") + 1).alias(f"i{k}") for k in range(3)])
 
 
-@query(" UNION ALL ".join((_sql("points", *_g("e0", "e1", "e2")), _sql("normals", *_g("e3", "e4", "e5")), _sql("colors", *_g("abs(e6)", "abs(e7)", "abs(e8)")), _sql("uvs", *_g("e10", "e11")), _sql("faces", "idx + 1", "1", "2"))))
+@query(" UNION ALL ".join((_sql("points", *_g("e0", "e1", "e2"), places=12), _sql("normals", *_g("e3", "e4", "e5"), places=12), _sql("colors", *_g("abs(e6)", "abs(e7)", "abs(e8)"), places=12), _sql("uvs", *_g("e10", "e11"), places=12), _sql("faces", "idx + 1", "1", "2"))))
 def a8_obj_source(spark, sf_dir):
     """All attributes; indices in the layout of vertex, texture and normal."""
     a = _attributes(spark, sf_dir)
     path = _written(spark, formats.obj_lines(a["points"], _one_based(a["faces"]), a["normals"], a["uvs"], a["colors"]))
-    return _sections(formats.read_obj(spark, path), {"points": "x y z", "normals": "nx ny nz", "colors": "r g b", "uvs": "u v", "faces": "i0 i1 i2"})
+    return _sections(formats.read_obj(spark, path), {"points": "x y z", "normals": "nx ny nz", "colors": "r g b", "uvs": "u v", "faces": "i0 i1 i2"}, places=12)
 
 
 #: What stands between the indices of one corner, and how many there are.
@@ -140,11 +141,11 @@ def a9_ply_attribute_sink(spark, sf_dir):
 
 
 @query(
-    " UNION ALL ".join((_sql("points", *_g("e0", "e1", "e2")), _sql("normals", *_g("e3", "e4", "e5")), _sql("colors", *[f"{_b(f'abs(e{i})')} / 255.0" for i in (6, 7, 8, 9)]), _sql("uvs", *_g("e10", "e11")), _sql("edges", "idx", "0"), _sql("faces", "idx", "0", "1")))
+    " UNION ALL ".join((_sql("points", *_g("e0", "e1", "e2"), places=12), _sql("normals", *_g("e3", "e4", "e5"), places=12), _sql("colors", *[f"{_b(f'abs(e{i})')} / 255.0" for i in (6, 7, 8, 9)], places=12), _sql("uvs", *_g("e10", "e11"), places=12), _sql("edges", "idx", "0"), _sql("faces", "idx", "0", "1")))
 )
 def a10_ply_source(spark, sf_dir):
     path = _written(spark, _ply(spark, sf_dir))
-    return _sections(formats.read_ply(spark, path), {"points": "x y z", "normals": "nx ny nz", "colors": "r g b a", "uvs": "u v", "edges": "v1 v2", "faces": "i0 i1 i2"})
+    return _sections(formats.read_ply(spark, path), {"points": "x y z", "normals": "nx ny nz", "colors": "r g b a", "uvs": "u v", "edges": "v1 v2", "faces": "i0 i1 i2"}, places=12)
 
 
 # --- binary records
