@@ -130,59 +130,86 @@ def intersects_triangle(b: Box, t0: v.Vector, t1: v.Vector, t2: v.Vector, exact:
     return ~apart
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    at = lambda c: F.floor(c / size).cast("long")
-    return F.sequence(at(low), at(high))
+#: Coarsest level of the grids; there the cells are two an axis, split at 0.
+TOP = 60
+
+
+def _bounds(b: Box) -> Column:
+    return F.struct(*[c.cast("double").alias(n) for c, n in zip(b, NAMES, strict=True)])
+
+
+def _levelled(df: DataFrame, b: Box, size: float) -> DataFrame:
+    """With _b, the bounds, and _own, the level whose cells, of size * 2**level, are no shorter than the longest
+    side; rows with a null or NaN bound, or one side below the other, meet nothing and go."""
+    longest = F.greatest(*[F.col(f"_b.{h}") - F.col(f"_b.{low}") for low, h in zip(NAMES[:3], NAMES[3:], strict=True)])
+    level = F.when(longest > size, F.least(F.ceil(F.log2(longest / size)), F.lit(TOP))).otherwise(0).cast("int")
+    df = df.withColumn("_b", _bounds(b))
+    for low, high in zip(NAMES[:3], NAMES[3:], strict=True):
+        df = df.where(~F.isnan(f"_b.{low}") & ~F.isnan(f"_b.{high}") & (F.col(f"_b.{low}") <= F.col(f"_b.{high}")))
+    return df.withColumn("_own", level)
+
+
+def _cell(c: Column, size: float) -> Column:
+    at = F.floor(c / (F.lit(float(size)) * F.pow(F.lit(2.0), "_level"))).cast("long")
+    return F.when(F.col("_level") < TOP, at).otherwise(F.when(c < 0, -1).otherwise(0).cast("long"))
+
+
+def _in_cells(df: DataFrame, size: float) -> DataFrame:
+    """Dealt to the cells of _level that the bounds cover; at the own level or a coarser one at most two an axis."""
+    for low, high in zip(NAMES[:3], NAMES[3:], strict=True):
+        df = df.withColumn(f"_{low}", F.explode(F.sequence(_cell(F.col(f"_b.{low}"), size), _cell(F.col(f"_b.{high}"), size))))
+    return df
+
+
+def _met(home: DataFrame, guests: DataFrame, size: float, coarser: bool = False) -> DataFrame:
+    """Pairs whose bounds overlap: rows of home in the cells of their own level, guests in those of every level
+    that home has from their own (or, coarser, the next) up. A pair is taken in the cell where the
+    intersection begins, so it is found once without a distinct. Guests' columns must differ from home's."""
+    levels = home.agg(F.collect_set("_own").alias("_levels"))  # one row of at most TOP + 1 numbers
+    reach = F.filter("_levels", lambda x: x > F.col("_own") if coarser else x >= F.col("_own"))
+    left = _in_cells(home.withColumn("_level", F.col("_own")), size)
+    right = _in_cells(guests.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode(reach)).drop("_levels"), size)
+    keys = ["_level", *[f"_{n}" for n in NAMES[:3]]]
+    pairs = left.withColumnRenamed("_b", "_l").withColumnRenamed("_own", "_l_own").join(right.withColumnRenamed("_b", "_r").withColumnRenamed("_own", "_r_own"), keys)
+    for low, high in zip(NAMES[:3], NAMES[3:], strict=True):
+        begin, end = F.greatest(f"_l.{low}", f"_r.{low}"), F.least(f"_l.{high}", f"_r.{high}")
+        pairs = pairs.where((begin <= end) & (F.col(f"_{low}") == _cell(begin, size)))
+    return pairs
 
 
 def boxes_with_points(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Pairs of a box and a point in it, by an equi-join on grid cells of this size; boxes are dealt to
-    the cells that they cover, a point has one cell, so a pair is found once. Choose size near the
-    boxes' usual length: a box of k cells a side becomes k**3 rows."""
-    b = boxes
-    for i, axis in enumerate("xyz"):
-        b = b.withColumn(f"c{axis}", F.explode(_cells(F.col(NAMES[i]), F.col(NAMES[i + 3]), size)))
-    p = points.where(v.valid(v.vec(*[F.col(a) for a in "xyz"])))
-    for axis in "xyz":
-        p = p.withColumn(f"c{axis}", F.floor(F.col(axis) / size).cast("long"))
-    joined = b.join(p, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
-    return joined.where(contains(columns(), (F.col("x"), F.col("y"), F.col("z"))))
+    """Pairs of a box and a point in it, by an equi-join on grid cells, of which `size` is the finest.
+
+    A box is dealt to at most eight cells, of the level that fits its longest side; a point has one cell at each
+    level that boxes have. The join is by hash of the cell, so adaptive execution splits a dense cell."""
+    xyz = tuple(F.col(a) for a in "xyz")
+    found = _met(_levelled(boxes, columns(), size), _levelled(points.where(v.valid(xyz)), xyz + xyz, size), size)
+    return found.select(*boxes.columns, *points.columns)
 
 
 def boxes_with_boxes(boxes: DataFrame, key: str, size: float, exact: bool = True) -> DataFrame:
-    """Pairs (a, b), a < b, of overlapping boxes, by grid cells: a pair is taken in the cell where the
-    intersection begins, so it is found once without a distinct."""
-    b = boxes
-    for i, axis in enumerate("xyz"):
-        b = b.withColumn(f"c{axis}", F.explode(_cells(F.col(NAMES[i]), F.col(NAMES[i + 3]), size)))
-    cells = ["cx", "cy", "cz"]
-    left = b.select(*cells, F.col(key).alias("a"), *[F.col(n).alias("l_" + n) for n in NAMES])
-    right = b.select(*cells, F.col(key).alias("b"), *[F.col(n).alias("r_" + n) for n in NAMES])
-    pairs = left.join(right, cells).where("a < b")
-    for n, c in zip(NAMES[:3], cells, strict=True):
-        pairs = pairs.where(F.col(c) == F.floor(F.greatest("l_" + n, "r_" + n) / size))
+    """Pairs (a, b), a < b, of overlapping boxes, by grid cells as above; a box is dealt to its own level and to the
+    coarser ones, at most eight cells each."""
+    own = _levelled(boxes, columns(), size)
+    pairs = _met(own.select(F.col(key).alias("_a"), "_b", "_own"), own.select(F.col(key).alias("_c"), "_b", "_own"), size)
+    pairs = pairs.where((F.col("_a") != F.col("_c")) & ((F.col("_r_own") < F.col("_l_own")) | (F.col("_a") < F.col("_c"))))
     test = intersects_exact if exact else intersects
-    return pairs.where(test(columns("l_"), columns("r_"))).select("a", "b")
+    return pairs.where(test(columns("_l."), columns("_r."))).select(F.least("_a", "_c").alias("a"), F.greatest("_a", "_c").alias("b"))
 
 
 def boxes_with_triangles(boxes: DataFrame, triangles: DataFrame, size: float, exact: bool = False) -> DataFrame:
     """(box, triangle) for each box (box, minx .. maxz) and triangle (triangle, x0, y0, z0 .. z2) that overlap.
 
-    Both are dealt to the grid cells that their bounds cover; a pair is tested once, in the cell where the
-    bounds' intersection begins. The test as reproduced also takes triangles that lie below the box in an axis
+    Pairs whose bounds meet are found by grid cells as above: the larger one at its own level, the other at the
+    levels of those. The test as reproduced also takes triangles that lie below the box in an axis
     but pass the other tests; those are found only as far as the bounds meet."""
-    t = triangles
-    for a in "xyz":
-        t = t.withColumn("l" + a, F.least(*[f"{a}{k}" for k in range(3)])).withColumn("h" + a, F.greatest(*[f"{a}{k}" for k in range(3)]))
-    b = boxes
-    for i, a in enumerate("xyz"):
-        b = b.withColumn("c" + a, F.explode(_cells(F.col(NAMES[i]), F.col(NAMES[i + 3]), size)))
-        t = t.withColumn("c" + a, F.explode(_cells(F.col("l" + a), F.col("h" + a), size)))
-    pairs = b.join(t, ["cx", "cy", "cz"])
-    for i, a in enumerate("xyz"):
-        low = F.greatest(NAMES[i], "l" + a)
-        pairs = pairs.where((low <= F.least(NAMES[i + 3], "h" + a)) & (F.col("c" + a) == F.floor(low / size)))
     corner = lambda k: tuple(F.col(f"{a}{k}") for a in "xyz")
+    sides = [[F.col(f"{a}{k}") for k in range(3)] for a in "xyz"]
+    t = _levelled(triangles, tuple(F.least(*c) for c in sides) + tuple(F.greatest(*c) for c in sides), size)
+    t = t.select("triangle", *[f"{a}{k}" for a in "xyz" for k in range(3)], "_b", "_own")
+    b = _levelled(boxes, columns(), size).select("box", *NAMES, "_b", "_own")
+    names = ["box", *NAMES, "triangle", *[f"{a}{k}" for a in "xyz" for k in range(3)]]
+    pairs = _met(b, t, size).select(*names).unionByName(_met(t, b, size, coarser=True).select(*names))
     return pairs.where(intersects_triangle(columns(), corner(0), corner(1), corner(2), exact)).select("box", "triangle")
 
 
