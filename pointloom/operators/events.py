@@ -3,7 +3,7 @@ columns inside them, so every window is partitioned; a stream without sessions i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,27 +62,70 @@ def pressed(events: DataFrame, order=ORDER) -> DataFrame:
     return kept.withColumn("down", F.col("action") == 1).withColumn("changed", F.coalesce(F.col("action") != F.lag("action").over(over), F.lit(True)))
 
 
-def folded(events: DataFrame, step: str, initial: str, fields: list[str], order=ORDER, finish: str = "acc") -> DataFrame:
-    """A left fold of a session's rows in order; step is SQL over acc and x. Sessions must be bounded:
-    recurrences with clamps depend on order and can't be split."""
-    row = F.struct(*order, *fields)
-    rows = events.groupBy(SESSION).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return rows.select(SESSION, F.expr(f"aggregate(rows, {initial}, (acc, x) -> {step}, acc -> {finish})").alias("state"))
+def folded(events: DataFrame, begin: Callable, step: Callable, fields: list[str], made: list[str], order=ORDER, every: bool = False, show: Callable = tuple) -> DataFrame:
+    """A left fold of each session's rows in order from begin(); step(state, *fields) gives the next state, and show
+    its numbers, the doubles `made`. A row for each session, the last state; with every, one after each row, with
+    the order's columns.
+
+    Recurrences with clamps depend on order and can't be split. Sorted rows stream through the fold, so a
+    session takes a task's time but not its memory."""
+    import pandas as pd
+
+    shown = [SESSION, *order] if every else [SESSION]
+    rows = events.select(SESSION, *order, *fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = None, None
+        for batch in batches:
+            states, ended = [], []
+            for own, *values in zip(batch[SESSION], *[batch[f] for f in fields], strict=True):
+                own = None if pd.isna(own) else own
+                if state is None or own != session:
+                    if state is not None and not every:
+                        ended.append((session, *show(state)))
+                    session, state = own, begin()
+                state = step(state, *values)
+                if every:
+                    states.append(show(state))
+            if every:
+                yield pd.concat([batch[shown], pd.DataFrame(states, columns=made, dtype="float64", index=batch.index)], axis=1)
+            elif ended:
+                yield pd.DataFrame(ended, columns=[SESSION, *made])
+        if state is not None and not every:
+            yield pd.DataFrame([(session, *show(state))], columns=[SESSION, *made])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in shown), *(f"{c} double" for c in made)])
+    return rows.repartition(SESSION).sortWithinPartitions(SESSION, *order).mapInPandas(run, schema)
 
 
 def orbit(events: DataFrame, sensitivity: float = 0.2) -> DataFrame:
-    """Azimuth and elevation after the deltas dx, dy: azimuth wraps once into [0, 360), elevation stops at 89.9."""
-    a, e = f"(acc.azimuth - x.dx * {sensitivity}D)", f"(acc.elevation + x.dy * {sensitivity}D)"
-    step = f"named_struct('azimuth', case when {a} < 0 then {a} + 360D when {a} >= 360 then {a} - 360D else {a} end, 'elevation', case when {e} <= -90 then -89.9D when {e} >= 90 then 89.9D else {e} end)"
-    return folded(events, step, "named_struct('azimuth', 0D, 'elevation', 0D)", ["dx", "dy"])
+    """(session, state) with azimuth and elevation after the deltas dx, dy (null: 0): azimuth wraps once into [0, 360),
+    elevation stops at 89.9."""
+
+    def step(state: tuple, dx: float, dy: float) -> tuple:
+        a, e = state[0] - dx * sensitivity, state[1] + dy * sensitivity
+        a = a + 360.0 if a < 0 else a - 360.0 if a >= 360 else a
+        return a, -89.9 if e <= -90 else 89.9 if e >= 90 else e
+
+    moves = events.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("dx", "dy")})
+    made = ["azimuth", "elevation"]
+    return folded(moves, lambda: (0.0, 0.0), step, ["dx", "dy"], made).select(SESSION, F.struct(*made).alias("state"))
 
 
 def zoom(events: DataFrame) -> DataFrame:
-    """Radius, 5 at first, and field of view, 45, after wheel steps dy: without shift the radius times 0.9 or 1.1, with it the
-    field of view by a degree within [1, 90]."""
-    radius = "if(x.shift, acc.radius, case when x.dy > 0 then acc.radius * 0.9D when x.dy < 0 then acc.radius * 1.1D else acc.radius end)"
-    fov = "if(x.shift, least(greatest(acc.fov - signum(x.dy), 1D), 90D), acc.fov)"
-    return folded(events, f"named_struct('radius', {radius}, 'fov', {fov})", "named_struct('radius', 5D, 'fov', 45D)", ["dy", "shift"])
+    """(session, state) with radius, 5 at first, and field of view, 45, after wheel steps dy: without shift the radius times
+    0.9 or 1.1, with it the field of view by a degree within [1, 90]. Null is no step, and no shift."""
+
+    def step(state: tuple, dy: float, shift: bool) -> tuple:
+        radius, fov = state
+        if shift:
+            return radius, min(max(fov - ((dy > 0) - (dy < 0)), 1.0), 90.0)
+        return radius * (0.9 if dy > 0 else 1.1 if dy < 0 else 1.0), fov
+
+    wheel = events.withColumns({"dy": F.coalesce(F.col("dy").cast("double"), F.lit(0.0)), "shift": F.coalesce(F.col("shift"), F.lit(False))})
+    made = ["radius", "fov"]
+    return folded(wheel, lambda: (5.0, 45.0), step, ["dy", "shift"], made).select(SESSION, F.struct(*made).alias("state"))
 
 
 def button_flags(events: DataFrame, order=ORDER) -> DataFrame:
@@ -204,27 +247,14 @@ def trackball(events: DataFrame, order=ORDER) -> DataFrame:
     """(session, *order, eye_x .. up_z, radius, fov) after each row of (session, *order, kind, x, y, button, dy, key).
 
     kind is move, press, release, wheel, key_press or key_release; rows of another kind change nothing,
-    null numbers are 0. Sorted rows stream through the fold, so a session takes a task's time but not
-    its memory."""
-    import pandas as pd
-
+    null numbers are 0."""
     fields = ["kind", "x", "y", "button", "dy", "key"]
-    rows = events.select(SESSION, *order, "kind", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("x", "y")], F.coalesce(F.col("button").cast("int"), F.lit(-1)).alias("button"), F.coalesce(F.col("dy").cast("double"), F.lit(0.0)).alias("dy"), "key")
+    numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "y", "dy")}
+    rows = events.withColumns(numbers | {"button": F.coalesce(F.col("button").cast("int"), F.lit(-1))})
     made = [f"{p}_{a}" for p in ("eye", "target", "up") for a in "xyz"] + ["radius", "fov"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, ball = None, None
-        for batch in batches:
-            out = []
-            for own, *values in zip(batch[SESSION], *[batch[f] for f in fields], strict=True):
-                own = None if pd.isna(own) else own
-                if ball is None or own != session:
-                    session, ball = own, Trackball()
-                ball.take(*values)
-                out.append((*ball.eye, *ball.target, *ball.up, ball.radius, ball.fov))
-            state = pd.DataFrame(out, columns=made, dtype="float64", index=batch.index)
-            yield pd.concat([batch[[SESSION, *order]], state], axis=1)
+    def step(ball: Trackball, *values) -> Trackball:
+        ball.take(*values)
+        return ball
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (SESSION, *order)) + ", " + ", ".join(f"{c} double" for c in made)
-    return rows.repartition(SESSION).sortWithinPartitions(SESSION, *order).mapInPandas(run, schema)
+    return folded(rows, Trackball, step, fields, made, order, True, lambda ball: (*ball.eye, *ball.target, *ball.up, ball.radius, ball.fov))

@@ -1,5 +1,7 @@
 """A stream of several micro-batches equals the batch."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pointloom.operators import events
@@ -34,3 +36,25 @@ def test_stream_equals_batch(spark, data, tmp_path):
 def test_orbit_clamps(spark):
     rows = spark.createDataFrame([(1, 0, i, 0.0, dy) for i, dy in enumerate((100.0, 100.0, -30.0))], "session long, ts long, event_id long, dx double, dy double")
     assert abs(events.orbit(rows, 1.0).first().state.elevation - 59.9) < 1e-9
+
+
+def test_folds_across_batches(spark):
+    """Sessions over many batches, one of a null key, against the same recurrences in plain Python."""
+    rng = random.Random(3)
+    rows = [(s, 0, i, rng.choice([None, rng.uniform(-400, 400)]), rng.uniform(-300, 300), rng.random() < 0.4) for i, s in enumerate(rng.choices([1, 2, 2, 3, None], k=300))]
+    table = spark.createDataFrame(rows, "session long, ts long, event_id long, dx double, dy double, shift boolean")
+    turned, zoomed = {}, {}
+    for s, _, _, dx, dy, shift in rows:
+        a, e = turned.get(s, (0.0, 0.0))
+        a, e = a - (dx or 0.0) * 0.2, e + dy * 0.2
+        turned[s] = (a + 360 if a < 0 else a - 360 if a >= 360 else a, -89.9 if e <= -90 else 89.9 if e >= 90 else e)
+        radius, fov = zoomed.get(s, (5.0, 45.0))
+        zoomed[s] = (radius, min(max(fov - (1 if dy > 0 else -1), 1), 90)) if shift else (radius * (0.9 if dy > 0 else 1.1), fov)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        assert {r.session: tuple(r.state) for r in events.orbit(table).collect()} == turned
+        assert {r.session: tuple(r.state) for r in events.zoom(table).collect()} == zoomed
+    finally:
+        spark.conf.set(key, before)
