@@ -10,8 +10,9 @@ is spread over tasks.
 
 from __future__ import annotations
 
+import json
+import os
 import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -23,8 +24,19 @@ from . import resident, words
 from .spark_util import cut, short_batches
 
 CAPACITY = 2048
-CACHE_WORDS = 600_000
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
+#: Pieces that a worker remembers, the bits of their table's places (over twice as many), and pieces looked up at once.
+CACHE_PIECES, BITS, PIECES = 1_200_000, 22, 1 << 18
+#: What a tokenizer must have for pieces of words to be encoded alone (fixed values).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _OTHER, _WORD = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, 9, 10, 11, 12, 13]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = _LETTER
+#: A byte-level vocabulary's letters: bytes that print stand for themselves, the others for those from 256 on, in order.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_LETTERS = {b: b for b in _PRINTS} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTS))}
 
 
 def default_tokenizer() -> str:
@@ -33,47 +45,130 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Chunks(dict):
-    """A white-space-separated chunk's ids as little-endian unsigned 32-bit bytes; forgets all when full."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.tokens, self.pieces = tokenizer, {}, tokenizer.model
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if chunk.isascii() and chunk.isalpha():
-            out = np.array([t.id for t in self.pieces.tokenize(chunk.lower())], "<u4").tobytes() if not _CONTRACTION.search(chunk) else self.slow(chunk)
-        else:
-            out = self.slow(chunk)
-        self[chunk] = out
-        return out
-
-    def slow(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-_CONTRACTION = re.compile("'")
-
-
-def _chunks(path: str) -> _Chunks:
-    from tokenizers import Tokenizer
-
-    return _Chunks(Tokenizer.from_file(path))
-
-
-def _ids(path: str, text: str) -> bytes:
-    """The ids that the tokenizer gives for the whole text. Its normaliser and pre-tokenizer never look
-    across white space, so chunks are encoded alone; a text with characters that are white space to
-    one side only is encoded as it is."""
-    import os
-
+class _Tokens:
+    """The ids of pieces of text, found by the pieces' hashes in an open-addressing table; forgets all when full.
+
+    With PATTERN and NORMALIZERS a tokenizer never looks across white space. A word (a run of bytes other than
+    ASCII white space) of printable ASCII and the letters from U+00C0 to U+00FF is cut as PATTERN cuts it, folded
+    to lower case, and its pieces go to the merging alone; one with other characters, an apostrophe or a
+    character that begins a special token is encoded as a whole. Other tokenizers get whole texts."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normalizers = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_piece = normalizers == NORMALIZERS and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed"
+        self.odd = np.zeros(256, bool)  # bytes whose words are encoded as a whole
+        self.odd[:9] = self.odd[14:32] = self.odd[127:] = True
+        self.odd[[39, *(t["content"].encode()[0] for t in spec.get("added_tokens", []))]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.slots = np.zeros(1 << BITS, np.uint64), np.zeros(1 << BITS, np.int32)
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # a slot's ids end where the next one's begin
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def piece(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(_LETTERS))]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Of each hash its slot, or -1."""
+        at = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        key = self.keys[at]
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << BITS) - 1)
+            key = self.keys[at[open_]]
+            open_ = open_[(key != h[open_]) & (key != 0)]
+        return np.where(self.keys[at] == h, self.slots[at], -1)
+
+    def learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """Takes in the ids of distinct unknown hashes."""
+        at, todo, slot = (h >> np.uint64(64 - BITS)).astype(np.int64), np.arange(len(h)), np.arange(len(h)) + len(self.ends) - 1
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            _, one = np.unique(at[free], return_index=True)
+            own = free[one]
+            self.keys[at[own]], self.slots[at[own]] = h[own], slot[own]
+            todo = todo[self.keys[at[todo]] != h[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << BITS) - 1)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32)])
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The bytes, folded but for whole words; each piece's begin and end; whether it is a whole word; and the pieces before each row."""
+        starts, ends, _ = words.spans(data, offsets)
+        kind = _CLASS[data]
+        if not len(starts):
+            return data, starts, ends, np.zeros(0, bool), np.zeros(len(offsets), np.int64)
+        odd = self.odd[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        lead = lead[(after != 0x97) & (after != 0xB7)]  # the signs of times and division are no letters
+        odd[lead] = odd[lead + 1] = False
+        folded = data.copy()
+        folded[(data >= 65) & (data <= 90)] += 32
+        folded[lead[data[lead + 1] < 0x9F] + 1] += 32
+        whole = np.flatnonzero(np.logical_or.reduceat(odd, starts))
+        if len(whole):
+            long = ends[whole] - starts[whole]
+            at = np.arange(long.sum()) + np.repeat(starts[whole] - np.cumsum(long) + long, long)
+            kind[at], folded[at] = _WORD, data[at]
+        begins = kind != _SPACE
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins[starts] = True  # a row's first word may touch the last of the row before
+        begin = np.flatnonzero(begins)
+        of = np.searchsorted(starts, begin, side="right") - 1
+        end = np.minimum(np.append(begin[1:], len(data)), ends[of])
+        return folded, begin, end, kind[begin] == _WORD, np.searchsorted(begin, offsets)
+
+    def rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by a 0, as little-endian unsigned 32-bit numbers, and the rows' offsets."""
+        if not self.by_piece:
+            ids = [[*self.whole(text or ""), 0] for text in column.to_pylist()]
+            return np.array([i for x in ids for i in x], "<u4"), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        data, begin, end, whole, rows = self.cut(*words.utf8(column))
+        parts, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for a in range(0, len(begin), PIECES):
+            own = slice(a, a + PIECES)
+            ids, count = self._of(data, begin[own], end[own], whole[own])
+            parts.append(ids)
+            counts.append(count)
+        ids, before = np.concatenate(parts), np.cumsum(np.concatenate(counts))[rows]
+        out = np.zeros(len(ids) + len(rows) - 1, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(rows) - 1), np.diff(before))] = ids
+        return out, before + np.arange(len(rows))
+
+    def _of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces, one after the other, and how many each has."""
+        h = words.hash_spans(data, begin, end, fold=False)
+        h[h == 0] = 1  # 0 marks a free place
+        slot = self.find(h)
+        unknown = np.flatnonzero(slot < 0)
+        if len(unknown):
+            new, first = np.unique(h[unknown], return_index=True)
+            if len(self.ends) + len(new) > CACHE_PIECES + 1:
+                self.forget()
+                unknown = np.arange(len(h))
+                new, first = np.unique(h, return_index=True)
+            first = unknown[first]
+            spelt = [data[a:b].tobytes() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+            self.learn(new, [self.whole(raw.decode()) if is_word else self.piece(raw) for raw, is_word in zip(spelt, whole[first].tolist(), strict=True)])
+            slot[unknown] = self.find(h[unknown])
+        start = self.ends[slot]
+        count = self.ends[slot + 1] - start
+        return self.ids[np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)], count
+
+
+def _tokens(path: str) -> _Tokens:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    chunks = resident.keep(("chunks", path), lambda: _chunks(path))
-    if _ODD_SPACE.search(text):
-        return chunks.slow(text)
-    return b"".join(map(chunks.__getitem__, text.split()))
+    return resident.keep(("tokens", path), lambda: _Tokens(path))
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -87,15 +182,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in batches:
             for part in words.slices(batch, "text"):
                 doc, number, start, length, crc = [], [], [], [], []
-                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = _ids(path, text or "") + b"\0\0\0\0"
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at : at + 4 * capacity]
+                ids, rows = _tokens(path).rows(part.column("text"))
+                raw = memoryview(ids).cast("B")
+                for i, a, b in zip(part.column("doc_id").to_pylist(), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+                    for k, at in enumerate(range(a, b, capacity)):
+                        to = min(at + capacity, b)
                         doc.append(i)
                         number.append(k)
-                        start.append(at // 4)
-                        length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
+                        start.append(at - a)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(raw[4 * at : 4 * to]))
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -327,6 +327,26 @@ def test_packing(docs, texts):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_tokenizers(name, monkeypatch):
+    """Texts of letters, signs, marks, control characters and special tokens in any order; with room for all pieces and for few."""
+    import public_tokenizers
+
+    r = random.Random(11)
+    some = [*"aAbZ'sStT’.,!%9 0½²éÉßÿÀ×÷þÞ\u0301\xadçİΣς日\u200b\n\x0b\x1c\x85\xa0_-ªµº€", "<|endoftext|>", "don't", "ÉCOLE ", " the"]
+    odd = ["".join(r.choices(some, k=r.randint(0, 40))) for _ in range(2_000)]
+    column = pa.array([None, "", " ", "é" * 50_000, *odd])
+    for room in (packing.CACHE_PIECES, 50):
+        monkeypatch.setattr(packing, "CACHE_PIECES", room)
+        monkeypatch.setattr(packing, "PIECES", min(room, packing.PIECES))
+        tokens = packing._Tokens(public_tokenizers.path(name))
+        assert tokens.by_piece == name.startswith("word")
+        ids, rows = tokens.rows(column)
+        assert rows[0] == 0 and rows[-1] == len(ids)
+        for text, a, b in zip(column.to_pylist(), rows[:-1], rows[1:], strict=True):
+            assert ids[a:b].tolist() == [*tokens.whole(text or ""), 0]
+
+
 def test_fullest_bin():
     r = random.Random(3)
     for _ in range(60):
