@@ -189,12 +189,127 @@ def boxes_with_points(boxes: DataFrame, points: DataFrame, size: float) -> DataF
 
 def boxes_with_boxes(boxes: DataFrame, key: str, size: float, exact: bool = True) -> DataFrame:
     """Pairs (a, b), a < b, of overlapping boxes, by grid cells as above; a box is dealt to its own level and to the
-    coarser ones, at most eight cells each."""
+    coarser ones, at most eight cells each. The test as reproduced is a search of corners, see _corners_in_boxes."""
     own = _levelled(boxes, columns(), size)
+    if not exact:
+        return _corners_in_boxes(own, key, size)
     pairs = _met(own.select(F.col(key).alias("_a"), "_b", "_own"), own.select(F.col(key).alias("_c"), "_b", "_own"), size)
     pairs = pairs.where((F.col("_a") != F.col("_c")) & ((F.col("_r_own") < F.col("_l_own")) | (F.col("_a") < F.col("_c"))))
-    test = intersects_exact if exact else intersects
-    return pairs.where(test(columns("_l."), columns("_r."))).select(F.least("_a", "_c").alias("a"), F.greatest("_a", "_c").alias("b"))
+    return pairs.where(intersects_exact(columns("_l."), columns("_r."))).select(F.least("_a", "_c").alias("a"), F.greatest("_a", "_c").alias("b"))
+
+
+#: Boxes of a crowded cell that a task holds at a time, and candidates that it tests at a time.
+HELD, TESTED = 8192, 1 << 20
+
+
+def _corners_in_boxes(own: DataFrame, key: str, size: float) -> DataFrame:
+    """Pairs (a, b), a < b, of levelled boxes of which one has a corner in the other.
+
+    Boxes are dealt to the cells of their own level, and all boxes' corners to one cell each at every level that occurs. Boxes
+    that are long in one axis and narrow in another share their cells with most others, so a cell's pairs aren't joined
+    and then tested: its boxes are split into parts of about HELD, the corners stream past each part, and ranges of sorted bounds
+    in the axis where a box meets fewest lead to the candidates. A pair is taken in the cell of the first corner inside."""
+    from pyspark.sql.types import StructField, StructType
+
+    own = own.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "_b", "_own")
+    cells, ends = ["_level", *[f"_{n}" for n in NAMES[:3]]], list(zip(NAMES[:3], NAMES[3:], strict=True))
+    home = _in_cells(own.withColumn("_level", F.col("_own")), size)
+    levels = own.agg(F.collect_set("_own").alias("_levels"))  # one row of at most TOP + 1 numbers
+    guests = own.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    for low, high in ends:
+        guests = guests.withColumn(f"_{low}", F.explode(F.array_distinct(F.array(_cell(F.col(f"_b.{low}"), size), _cell(F.col(f"_b.{high}"), size)))))
+    # a bit for each bound that lies in this cell's range
+    at = sum((F.when(_cell(F.col(f"_b.{n}"), size) == F.col(f"_{NAMES[i % 3]}"), 1 << i).otherwise(0) for i, n in enumerate(NAMES)), F.lit(0))
+    parts = home.groupBy(*cells).agg(F.ceil(F.count("*") / HELD).cast("int").alias("_parts"))
+    home = home.join(parts, cells).withColumn("_part", F.pmod(F.xxhash64("_key", "_b"), "_parts").cast("int")).withColumn("_at", F.lit(-1))
+    guests = guests.join(parts, cells).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_at", at)
+    group = [*cells, "_part"]
+    rows = home.select(*group, "_at", "_key", "_b.*").unionByName(guests.select(*group, "_at", "_key", "_b.*"))
+    context = own.sparkSession.sparkContext
+    n = max(4 * context.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(n, *group).sortWithinPartitions(*group, "_at")  # a group's boxes come first
+
+    kind = own.schema["_key"].dataType
+    return dealt.mapInArrow(_corner_search(group), StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def _corner_search(group: list[str]):
+    """For mapInArrow over sorted groups, each of boxes (_at -1) and then of corners' boxes. Its functions are nested so that
+    they go to the workers by value."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def between(x, low, high):
+        return (low <= x) & (x <= high)
+
+    def candidates(home, home_group, guests, guest_group, at):
+        """Index pairs (i, j), at most TESTED or one box's own at a time, of a box of home (six rows of bounds) and a guest of
+        its group whose first corner inside the box has all its bounds among those marked in at."""
+        spans = []  # for each bound: guests in order, and where each box's range of them begins and ends
+        for k in range(6):
+            marked = np.flatnonzero(at[k])
+            values, rank = np.unique(guests[k][marked], return_inverse=True)
+            width = len(values) + 1
+            rank = guest_group[marked] * width + rank
+            order = np.argsort(rank, kind="stable")
+            edges = [np.searchsorted(rank[order], home_group * width + np.searchsorted(values, home[k % 3 + d], side)) for d, side in ((0, "left"), (3, "right"))]
+            spans.append((marked[order], *edges))
+        counts = np.stack([sum(spans[i][2] - spans[i][1] for i in (k, k + 3)) for k in range(3)])
+        best, totals = counts.argmin(axis=0), counts.sum(axis=1)
+        for end in range(6):
+            k = end % 3
+            rest = sorted({0, 1, 2} - {k}, key=lambda x: totals[x])
+            order, begin, stop = spans[end]
+            mine = np.flatnonzero((best == k) & (stop > begin))
+            upto = np.cumsum(stop[mine] - begin[mine])
+            first = 0
+            while first < len(mine):
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TESTED, "right")))
+                box = mine[first:last]
+                n = stop[box] - begin[box]
+                i = np.repeat(box, n)
+                j = order[np.arange(len(i)) + np.repeat(begin[box] - np.cumsum(n) + n, n)]
+                if end > 2:  # the lower bound comes first, where it is inside
+                    ok = guests[k][j] < home[k][i]
+                    i, j = i[ok], j[ok]
+                for x in rest:
+                    low, high = home[x][i], home[x + 3][i]
+                    ok = np.where(between(guests[x][j], low, high), at[x][j], between(guests[x + 3][j], low, high) & at[x + 3][j])
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    yield i, j
+                first = last
+
+    def meet(table):
+        new = np.zeros(len(table), bool)
+        for c in group:
+            x = table[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        number, bits = np.cumsum(new), table["_at"].to_numpy()
+        own, others = np.flatnonzero(bits < 0), np.flatnonzero(bits >= 0)
+        b, keys = np.stack([table[n].to_numpy() for n in NAMES]), table["_key"].combine_chunks()
+        home, guests = b[:, own], b[:, others]
+        at = [(bits[others] >> i & 1).astype(bool) for i in range(6)]
+        for i, j in candidates(home, number[own], guests, number[others], at):
+            both = np.ones(len(i), bool)  # whether the box has a corner in the guest, too
+            for k in range(3):
+                low, high = guests[k][j], guests[k + 3][j]
+                both &= between(home[k][i], low, high) | between(home[k + 3][i], low, high)
+            a, c = keys.take(pa.array(own[i])), keys.take(pa.array(others[j]))
+            less = pc.less(a, c)
+            keep = pc.or_(less, pc.and_(pc.greater(a, c), pa.array(~both)))
+            yield pa.RecordBatch.from_arrays([pc.if_else(less, a, c), pc.if_else(less, c, a)], names=["a", "b"]).filter(keep)
+        return table.take(pa.array(own[number[own] == number[-1]]))
+
+    def run(batches):
+        held = None  # the boxes of the group that the last batch ended in
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                held = yield from meet(table if held is None else pa.concat_tables([held, table]))
+
+    return run
 
 
 def boxes_with_triangles(boxes: DataFrame, triangles: DataFrame, size: float, exact: bool = False) -> DataFrame:

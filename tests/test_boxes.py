@@ -2,7 +2,9 @@
 
 import math
 import random
+import threading
 
+import numpy as np
 import pytest
 
 from pointloom.operators import boxes
@@ -42,6 +44,56 @@ def test_boxes_with_boxes(spark, rows):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] < 903 and meet(a[1:], b[1:]))
 
 
+def cornered(a, b):
+    inside = lambda x, y: all(x[i] <= y[i] <= x[i + 3] or x[i] <= y[i + 3] <= x[i + 3] for i in range(3))
+    return inside(a, b) or inside(b, a)
+
+
+@pytest.mark.parametrize(("held", "tested", "batch"), [(8192, 1 << 20, 10000), (9, 40, 16)])
+def test_corners_in_boxes(spark, rows, monkeypatch, held, tested, batch):
+    """Against brute force, with parts, candidates and batches cut small, too; long boxes across each other, equal ones, an id twice."""
+    rng = random.Random(8)
+    long = []
+    for i in range(300, 420):
+        half = [(0.4, 0.02, 0.1), (0.02, 0.4, 0.1), (0.0, 0.0, 0.5)][i % 3]
+        at = [round(rng.uniform(-0.6, 0.6), 1) for _ in range(3)]
+        long.append((i, *[c - h for c, h in zip(at, half)], *[c + h for c, h in zip(at, half)]))
+    every = rows + long + [(299, *long[5][1:]), (None, *long[5][1:]), (300, *long[7][1:]), (298, -INF, 0.0, 0.0, -INF, 0.1, 0.1), (297, -INF, 0.1, 0.0, -INF, 0.2, 0.1)]
+    monkeypatch.setattr(boxes, "HELD", held)
+    monkeypatch.setattr(boxes, "TESTED", tested)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = boxes.boxes_with_boxes(spark.createDataFrame(every, BOX), "id", 0.05, exact=False)
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    finite = [r for r in every if r[0] is not None and r[0] < 903]
+    assert got == sorted((a[0], b[0]) for a in finite for b in finite if a[0] < b[0] and cornered(a[1:], b[1:])) and len(got) > 1000
+    assert found.columns == ["a", "b"]
+    words = spark.createDataFrame([(f"k{r[0]}", *r[1:]) for r in finite[-40:]], BOX.replace("id long", "id string"))
+    by_word = sorted(tuple(r) for r in boxes.boxes_with_boxes(words, "id", 0.05, exact=False).collect())
+    assert by_word == sorted((f"k{a[0]}", f"k{b[0]}") for a in finite[-40:] for b in finite[-40:] if f"k{a[0]}" < f"k{b[0]}" and cornered(a[1:], b[1:]))
+
+
+def test_many_long_boxes(spark):
+    """12,000 long boxes that nearly all share their cells; joined pair by pair they took minutes."""
+    n, half = 12000, np.array([[0.2, 0.01, 0.05], [0.01, 0.2, 0.05]])[np.arange(12000) % 2]
+    at = np.random.default_rng(9).normal(0, 0.125, (n, 3))
+    low, high = at - half, at + half
+    want = 0
+    for i in range(n - 1):
+        a, b, c, d = low[i], high[i], low[i + 1 :], high[i + 1 :]
+        inside = (((a <= c) & (c <= b)) | ((a <= d) & (d <= b))).all(axis=1)
+        want += (inside | (((c <= a) & (a <= d)) | ((c <= b) & (b <= d))).all(axis=1)).sum()
+    df = spark.createDataFrame([(i, *map(float, low[i]), *map(float, high[i])) for i in range(n)], BOX)
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert boxes.boxes_with_boxes(df, "id", 0.2, exact=False).count() == want
+    finally:
+        late.cancel()
+
+
 def test_boxes_with_triangles(spark, rows):
     rng = random.Random(7)
     triangles = []
